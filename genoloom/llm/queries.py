@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from genoloom.llm import exact_dedup, mixing, packing, simple8b
+from genoloom.llm import exact_dedup, mixing, packing, simhash, simple8b, topk
 
 
 def queries() -> dict:
     return {
         "op2_source_mixing": mixing.op2_source_mixing,
         "op3_simple8b": simple8b.op3_simple8b,
+        "op5_simhash_gray": simhash.op5_simhash_gray,
         "op7_retrieval_packing": packing.op7_retrieval_packing,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_term_at_a_time": topk.op9_term_at_a_time,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_source_mixing": mixing.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_source_mixing": mixing.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_term_at_a_time": topk.ORACLE}
