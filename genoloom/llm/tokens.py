@@ -15,7 +15,7 @@ import os
 from array import array
 
 #: Words kept with their ids; beyond that the cache starts anew (results don't change).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 #: Letters up to here belong to the same classes in every version of Unicode.
 LAST_LATIN = "\u024f"
 _ENCODERS: dict = {}
@@ -44,12 +44,17 @@ class Words(dict):
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.space = self.alphabet[0x20]
+        self.marks = {m: array("I", [t.id for t in self.model(m)]).tobytes() for m in ".,;:!?"}
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace():
             raise KeyError(word)
         if word.isascii() and word.isalpha():
             ids = [t.id for t in self.model(self.space + word)]
+        elif word[-1] in self.marks and word[:-1].isalpha():
+            # letters and one mark are two pieces
+            self[word] = found = self[word[:-1]] + self.marks[word[-1]]
+            return found
         elif word.isascii() or max(word) <= LAST_LATIN:
             pieces = (" " + word,) if word.isalpha() else self.pieces(" " + word)
             ids = [t.id for p in pieces for t in self.model(p.encode().decode("latin-1").translate(self.alphabet))]
@@ -70,11 +75,21 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words = Words(self.tokenizer)
+        self.heads: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         """Through the library's whole pipeline."""
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def head(self, word: str) -> bytes:
+        """A text's first word, which has no space before it."""
+        found = self.heads.get(word)
+        if found is None:
+            if len(self.heads) > CACHE_WORDS // 8:
+                self.heads.clear()
+            self.heads[word] = found = self.whole(word)
+        return found
+
     def encode_one(self, text: str) -> bytes:
         words = self.words
         if len(words) > CACHE_WORDS:
@@ -83,7 +98,7 @@ class Encoder:
         if cut[0][-1:].isspace() and len(cut) > 1 and not cut[1]:
             return self.whole(text)
         try:
-            return self.whole(cut[0]) + b"".join(map(words.__getitem__, cut[1:]))
+            return self.head(cut[0]) + b"".join(map(words.__getitem__, cut[1:]))
         except KeyError:
             return self.whole(text)
 
