@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 
 from genoloom.llm.common import Workspace, lower_ascii, need
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; no space is set aside ahead of need, as there may be many small stores.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def arrivals_of(docs: DataFrame) -> DataFrame:
@@ -40,8 +44,9 @@ def state_of(arrivals: DataFrame, path: str, space: Workspace, files_per_batch:
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         state = (
             spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -54,10 +59,11 @@ def state_of(arrivals: DataFrame, path: str, space: Workspace, files_per_batch:
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     empty = spark.createDataFrame([], state.schema)
     if not spark.read.parquet(path).limit(1).count():
         return empty
