@@ -67,7 +67,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=(3, 2), epochs: int = 2) ->
     return ranked.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share_of).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=(3, 2), epochs: int = 2, seed: int = 17, rows_per_bucket: int = 50_000) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share=(3, 2), epochs: int = 2, seed: int = 17, rows_per_bucket: int = 8_000) -> DataFrame:
     """How many words the mix takes of each document.
 
     Input columns: doc_id, text, source; others are ignored. Output: doc_id,
