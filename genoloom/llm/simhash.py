@@ -35,7 +35,9 @@ SHINGLE = 3
 SEED = 42
 FAN = 16
 FIRST_HALF = np.uint64(0xFFFFFFFF00000000)
-SHARD_ROWS = 16_384
+SHARD_ROWS = 4096
+#: At most so many shards, whose patterns the driver holds (24 bytes each); beyond, shards grow.
+MOST_SHARDS = 200_000
 #: Queries searched together.
 BLOCK = 1024
 
@@ -178,7 +180,7 @@ def links(distinct: DataFrame, space: Workspace, distance: int = DISTANCE, shard
     ``distance`` of at most 3: the halves' bound is distance // 2 of one half.
     """
     count = distinct.count()
-    shards = max(1, -(-count // shard_rows))
+    shards = max(1, -(-count // max(shard_rows, -(-count // MOST_SHARDS))))
     parts = []
     for half in (0, 1):
         value = F.col("fp") if not half else F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
