@@ -21,7 +21,9 @@ from genoloom.llm.common import Workspace, need
 SCALE = 64
 BLOCK_ROWS = 8192
 #: Queries accumulated together; bounds the score arrays.
-QUERIES = 256
+QUERIES = 64
+#: Rows of a score array accumulated together.
+TILE = 2048
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -46,18 +48,31 @@ def matrix(block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Scores of all queries against a block, term at a time."""
-    scores = np.zeros((len(queries), len(rows)), np.int64)
-    for t in range(min(queries.shape[1], rows.shape[1])):
-        asking = np.nonzero(queries[:, t])[0]
-        holding = np.nonzero(rows[:, t])[0]
-        if not len(asking) or not len(holding):
-            continue
-        weights = queries[asking, t][:, None] * rows[holding, t]
-        if len(asking) == len(queries) and len(holding) == len(rows):
-            scores += weights
-        else:
-            scores[np.ix_(asking, holding)] += weights
+    """Scores of all queries against a block, term at a time.
+
+    A score array is a tile small enough for the processor's cache. Terms that
+    few rows hold scatter into their places; common terms add a whole column.
+    """
+    width = min(queries.shape[1], rows.shape[1])
+    largest = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * max(1, width)
+    kind = np.int32 if largest < 2**31 else np.int64
+    queries = queries[:, :width].astype(kind)
+    columns = np.ascontiguousarray(rows[:, :width].T.astype(kind))
+    postings = [np.nonzero(c)[0] for c in columns]
+    scores = np.zeros((len(queries), len(rows)), kind)
+    for at in range(0, len(rows), TILE):
+        tile = scores[:, at : at + TILE]
+        spare = np.empty_like(tile)
+        for t in range(width):
+            weights = queries[:, t : t + 1]
+            if 4 * len(postings[t]) >= len(rows):
+                np.multiply(weights, columns[t, at : at + TILE], out=spare)
+                np.add(tile, spare, out=tile)
+            else:
+                held = postings[t][np.searchsorted(postings[t], at) : np.searchsorted(postings[t], at + TILE)] - at
+                asking = np.nonzero(weights[:, 0])[0]
+                if len(held) and len(asking):
+                    tile[np.ix_(asking, held)] += weights[asking] * columns[t, held + at]
     return scores
 
 
@@ -121,7 +136,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = SCALE,
     stripes = 64
     spread = queries.select("queries", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
     dealt = blocks.select("rows", F.pmod(F.xxhash64("block"), F.lit(stripes)).cast("int").alias("stripe"))
-    pairs = spread.join(dealt, "stripe").select("queries", "rows")
+    pairs = spread.join(dealt, "stripe").select("queries", "rows").repartition(4 * vectors.sparkSession.sparkContext.defaultParallelism)
     found = pairs.mapInArrow(partial(_search, k=k), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
