@@ -129,7 +129,9 @@ def source_records(spark: SparkSession, q: ast.Query, variables: dict) -> DataFr
     if fmt == "cram":
         raise EngineError("UnsupportedInto", "cram has no reader")
     if fmt == "table":
-        return spark.read.parquet(path).withColumn("_seq", F.monotonically_increasing_id())
+        # a row's place in its file; unlike a running number it lets filters reach the scan
+        rows = spark.read.parquet(path)
+        return rows.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("_seq"))
     opts = params_of(q, variables)
     if q.pair is not None:
         # the partition counts, also where CALL variants follows; SPLIT doesn't apply
