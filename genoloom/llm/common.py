@@ -61,6 +61,11 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def text_hash(column="text"):
+    """Tells the texts of one doc_id apart; a null text is empty."""
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns, so that extra columns of any name do no harm."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -26,10 +26,15 @@ STATE = {
 }
 
 
+def digest_of(column="text"):
+    """SHA-256 of the normalised text."""
+    return F.unhex(F.sha2(lower_ascii(F.coalesce(F.col(column), F.lit(""))).cast("binary"), 256))
+
+
 def arrivals_of(docs: DataFrame) -> DataFrame:
     """Each row's digest, identifier and locator. ``row`` tells repeated rows apart."""
     return need(docs, "doc_id", "text").select(
-        F.unhex(F.sha2(lower_ascii(F.coalesce("text", F.lit(""))).cast("binary"), 256)).alias("digest"),
+        digest_of().alias("digest"),
         "doc_id",
         F.monotonically_increasing_id().alias("row"),
         F.input_file_name().alias("file"),

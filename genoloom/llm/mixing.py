@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import Workspace, need
+from genoloom.llm.common import Workspace, need, text_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by a source's place in code-point order, repeating.
@@ -71,7 +71,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=(3, 2), epochs: int = 2, seed: i
     """How many words the mix takes of each document.
 
     Input columns: doc_id, text, source; others are ignored. Output: doc_id,
-    source, size, source_size, target, taken (long), epoch parts included.
+    source, size, source_size, target, taken (long, epoch parts included) and
+    text_hash, which tells texts of one doc_id apart.
 
     A null text has size 0; null sources form one source, last in order. A
     repeated row counts as a document of its own; ties in the key order by
@@ -83,7 +84,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=(3, 2), epochs: int = 2, seed: i
     space = Workspace(spark, "mixing")
     sized = space.put(
         need(docs, "doc_id", "text", "source").select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key")),
+            "doc_id", "source", word_count(F.col("text")).alias("size"), text_hash().alias("text_hash"), random_key(F.col("doc_id"), seed).alias("key")),
         "sized")
     rows = sized.count()
     bits = max(0, (max(1, rows) // max(1, rows_per_bucket)).bit_length())
@@ -105,7 +106,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=(3, 2), epochs: int = 2, seed: i
     turns = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     cut = budget - turns * F.col("source_size") - F.col("bucket_start") - F.col("inside")
     taken = turns * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), cut))
-    return joined.select(F.col("p.doc_id"), F.col("p.source"), "size", "source_size", "target", taken.alias("taken"))
+    return joined.select(F.col("p.doc_id"), F.col("p.source"), "size", "source_size", "target", taken.alias("taken"), "text_hash")
 
 
 def op2_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -64,9 +64,12 @@ _ITEM = rf"(?:{_WORD}\b|[0-9]+(?![A-Za-z]))"
 _SPELLED = re.compile(rf"\b(?:plus[\s,-]+)?{_WORD}\b(?:[\s,-]+(?:dot[\s,-]+|point[\s,-]+)?{_ITEM}){{3,}}", re.I)
 _TWO_WORDS = re.compile(rf"\b{_WORD}[\s,-]+(?:dot[\s,-]+|point[\s,-]+)?(?:{_WORD}\b|[0-9])")
 _SPELLED_PART = re.compile(rf"(plus)|(dot|point)|({_WORD})|([0-9]+)|([\s,-]+)", re.I)
-_BRACKETED = re.compile(r"[\x20\t]*[\[({<]\s*(?:(at|@)|(dot|\.|punkt|punto|point))\s*[\])}>][\x20\t]*", re.I)
-_LABEL = r"[A-Za-z0-9_%+-]+"
-_SPOKEN = re.compile(rf"\b{_LABEL}(?:(?:\s+dot\s+|\.){_LABEL})*(\s+at\s+|@|\s*@\s*)(?:[A-Za-z0-9-]+)(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z]{{2,12}}\b", re.I)
+_BRACKETED = re.compile(r"[\x20\t]{0,3}[\[({<]\s{0,3}(?:(at|@)|(dot|\.|punkt|punto|point))\s{0,3}[\])}>][\x20\t]{0,3}", re.I)
+# Endings that a wholly spelled address may have; none is a common word.
+ENDINGS = "com org net edu gov mil info biz io ai co app dev xyz uk de fr es nl ch eu ca au nz jp cn br ru pl se dk fi ie pt gr cz mx ar example test".split()
+# lengths are those an address may have, which keeps the search linear
+_LABEL = r"[A-Za-z0-9_%+-]{1,64}"
+_SPOKEN = re.compile(rf"\b{_LABEL}(?:(?:\s{{1,3}}dot\s{{1,3}}|\.){_LABEL}){{0,8}}(\s{{1,3}}at\s{{1,3}}|\s{{0,3}}@\s{{0,3}})(?:[A-Za-z0-9-]{{1,63}})(?:(?:\s{{1,3}}dot\s{{1,3}}|\.)[A-Za-z0-9-]{{1,63}}){{0,8}}\s{{1,3}}dot\s{{1,3}}(?:{"|".join(ENDINGS)})\b", re.I)
 _SPOKEN_PART = re.compile(r"(\s+at\s+|\s*@\s*)|(\s+dot\s+)", re.I)
 _DOTTED = re.compile(r"(?<=[0-9])\s+dot\s+(?=[0-9])", re.I)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import Workspace, need, text_bytes
+from genoloom.llm.common import Workspace, need, text_bytes, text_hash
 from genoloom.llm.graph import components
 
 DISTANCE = 3
@@ -60,10 +60,10 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches, words: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_hash", pa.int64())])
     for batch in batches:
         found = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), batch.column(2)], schema=schema)
 
 
 def turned(fp: np.ndarray, half: int) -> np.ndarray:
@@ -209,11 +209,11 @@ def _search_with(distance: int):
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """Classes of near-duplicates of ``docs`` (doc_id, text): doc_id, fp (signed 64-bit), component_id.
+    """Classes of near-duplicates of ``docs`` (doc_id, text): doc_id, fp (signed 64-bit), component_id, root, text_hash.
 
     Two documents are linked when their fingerprints differ in at most
     ``distance`` bits (3 at most); a class is what links reach, and its id is
-    its smallest doc_id. A text of fewer words than a shingle is one shingle; a
+    its smallest doc_id; ``root`` is the class's least fingerprint. A text of fewer words than a shingle is one shingle; a
     null or empty text has fingerprint zero and links like any other. Null
     doc_ids take part but are nobody's id, unless the class has no other.
     Repeated rows come back as often as they came. An empty table gives an
@@ -222,14 +222,14 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, distance: int = DISTA
     if not 0 <= distance <= 3:
         raise ValueError("distance must be 0 to 3")
     space = Workspace(docs.sparkSession, "simhash")
-    bare = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
-    prints = space.put(bare.mapInArrow(partial(_fingerprints, words=words), "doc_id long, fp long"), "prints")
+    bare = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), text_bytes().alias("text"), text_hash().alias("text_hash"))
+    prints = space.put(bare.mapInArrow(partial(_fingerprints, words=words), "doc_id long, fp long, text_hash long"), "prints")
     distinct = space.put(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = components(links(distinct.select("fp"), space, distance), space)
     rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = space.put(rooted.join(names, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = space.put(rooted.join(names, "root").select("fp", "root", "component_id"), "named")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "root", "text_hash")
 
 
 def op5_simhash_gray(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import Workspace, need
+from genoloom.llm.common import Workspace, need, text_hash
 from genoloom.llm.pii import TABLE as LOOKALIKES
 
 MOST_ROWS = 30_000
@@ -49,7 +49,6 @@ _HEAD = _STRIP.replace("$", "").replace("|", "").replace("+", "").replace("(", "
 _MIXED = re.compile(r"(?=.*[a-z])(?=.*[^a-z])[a-z0134567 89@$!|+(<€£¡¢#*]{3,}".replace(" ", ""))
 _PARTED = re.compile(r"[a-z0-9@$!|+*](?:[.\-_*~/][a-z0-9@$!|+*]){2,}")
 _STRETCHED = re.compile(r"([a-z])\1(?:\1|([a-z])\2([a-z])\3)")
-_STRETCHED_WORD = re.compile(r"[^\s]*([a-z])\1(?:\1|([a-z])\2([a-z])\3)[^\s]*")
 _SPACED = re.compile(r"(?<!\S)[^\s](?: [^\s]){3,}(?!\S)")
 # Costs of the channel, in nats.
 COST_SIGN, COST_REPEAT, COST_SEPARATOR, COST_WILD, COST_KEEP_REPEAT = 0.7, 0.2, 0.2, 1.0, 0.7
@@ -154,7 +153,7 @@ class Reader:
             elif core and (_MIXED.fullmatch(core) or _PARTED.fullmatch(core)) and not core.isdigit():
                 disguised.append(core)
         if _STRETCHED.search(low):
-            disguised += [m[0].rstrip(_TAIL).lstrip(_HEAD) for m in _STRETCHED_WORD.finditer(low)]
+            disguised += [w.rstrip(_TAIL).lstrip(_HEAD) for w in raw if _STRETCHED.search(w)]
         restored = {r for w in set(disguised) for r in self.readings(w)}
         for m in _SPACED.finditer(low):
             letters = m[0].replace(" ", "")
@@ -267,7 +266,7 @@ def _score(batches, model: dict):
     reader = Reader(model["counts"])
     lexicon = model["lexicon"]
     gate = {k[: LENGTHS[0]] for k in lexicon}
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("found", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("found", pa.string()), ("text_hash", pa.int64())])
 
     def hits(words):
         near = [w for w in words if w[: LENGTHS[0]] in gate]
@@ -287,13 +286,14 @@ def _score(batches, model: dict):
             scores.append(min(1.0, max(0.0, 1.0 - left)))
             found.append(",".join(sorted(plain | hidden)))
         n = len(scores)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(found, pa.string())], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(found, pa.string()), batch.column(3)], schema=schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """Scores of ``docs`` (doc_id, text) for what ``labels`` (doc_id, toxic) marks.
 
-    Output: doc_id, held_out, score (0 to 1), predicted, found (the evidence).
+    Output: doc_id, held_out, score (0 to 1), predicted, found (the evidence),
+    text_hash.
     Learns from rows whose crc32(doc_id as text) mod 5 is not 0. A null text is
     empty and gets the score of a text without evidence; a null doc_id counts
     as an empty one for the split and has no label. A document labelled more
@@ -303,8 +303,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) ->
     """
     space = Workspace(docs.sparkSession, "toxicity")
     model = fit(docs, labels, space, most_rows)
-    rows = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", held_out_column().alias("held_out"))
-    return rows.mapInArrow(partial(_score, model=model), "doc_id long, held_out boolean, score double, predicted int, found string")
+    rows = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", held_out_column().alias("held_out"), text_hash().alias("text_hash"))
+    return rows.mapInArrow(partial(_score, model=model), "doc_id long, held_out boolean, score double, predicted int, found string, text_hash long")
 
 
 def op10_noisy_channel_toxicity(spark, sf_dir: str) -> DataFrame:
