@@ -4,8 +4,9 @@ Documents are tokenised once and written to the shared folder with a lexical
 sketch (two min-hashes of their token ids). Sorted by sketch, documents that
 share words lie near each other; consecutive runs of them are the shards, each
 with a BM25 inverted index of its own. A shard is bounded in documents and in
-tokens, and a sketch shared by a third of all documents is cut by doc_id like
-any other range, so no shard or task grows with a hot group.
+tokens. Tasks get ranges of about equal numbers of ids, cut anywhere between two
+rows, so long documents, which lie together, and a sketch that a third of all
+documents share spread over tasks like anything else.
 
 Inside a shard, a seed document opens a window. Its most telling terms query
 the index, and the best unused neighbours that fit go in; when none fits, the
@@ -17,6 +18,7 @@ powers of two, which need no padding.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from functools import partial
 
 import numpy as np
@@ -30,10 +32,18 @@ from genoloom.llm.tokens import default_vocabulary, encoder
 WINDOW = 2048
 SHARD_DOCS = 256
 SHARD_IDS = 2_000_000
+#: Ids a task packs; beyond MOST_TASKS tasks they get more each.
+TASK_IDS = 4_000_000
+MOST_TASKS = 50_000
+#: Marks the driver holds for each task when it looks for the tasks' bounds.
+MARKS = 4
+#: A null doc_id's place in order.
+FIRST_ID = -(1 << 63)
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 
 TOKENISED = "doc_id long, sketch long, n_ids long, ids binary"
+ORDER = ("sketch", "place", "row")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECES_IDS = PIECES + ", ids binary"
 
@@ -74,6 +84,51 @@ def ids_of(stored: bytes) -> np.ndarray:
     return np.frombuffer(stored, "<u2" if stored[0] == 2 else "<u4", offset=1).astype("<u4")
 
 
+def _marks(batches, step: int):
+    """Of rows in order, the last of every run of ``step`` ids with the number of ids in the run."""
+    schema = pa.schema([(n, pa.int64()) for n in (*ORDER, "n")])
+    size, last = 0, None
+    for batch in batches:
+        out = []
+        for *key, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            size, last = size + n, key
+            if size >= step:
+                out.append((*key, size))
+                size, last = 0, None
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+    if last:
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()) for c in (*last, size)], schema=schema)
+
+
+def bounds(rows: DataFrame, task_ids: int = TASK_IDS, most_tasks: int = MOST_TASKS) -> list[tuple]:
+    """Last keys (ORDER) of all tasks but the last, by the ids of ``rows`` (ORDER, n_ids).
+
+    A task gets at most its even share, a mark's run and a row of ids.
+    """
+    total = rows.agg(F.sum("n_ids")).head()[0] or 0
+    tasks = min(most_tasks, -(-total // task_ids))
+    if tasks < 2:
+        return []
+    ordered = rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    marks = ordered.mapInArrow(partial(_marks, step=max(1, total // (tasks * MARKS))), ", ".join(f"{n} long" for n in (*ORDER, "n")))
+    found, size, full = [], 0, 0
+    for *key, n in sorted(tuple(r) for r in marks.collect()):
+        size += n
+        if full < size * tasks // total < tasks:
+            full = size * tasks // total
+            found.append(tuple(key))
+    return found
+
+
+def _deal(batches, ends: list):
+    """The task of each row, before its doc_id, order and ids."""
+    for batch in batches:
+        keys = zip(*(batch.column(n).to_pylist() for n in ORDER))
+        task = pa.array([bisect_left(ends, k) for k in keys], pa.int32())
+        yield pa.RecordBatch.from_arrays([task, *batch.columns], names=["task", *batch.schema.names])
+
+
 class Shard:
     """A BM25 inverted index over some documents' token ids."""
 
@@ -229,7 +284,7 @@ def _pack(batches, window: int, with_ids: bool):
         yield flush()
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window: int = WINDOW, with_ids: bool = True, task_ids: int = TASK_IDS) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of at most ``window`` ids.
 
     ``window`` is a power of two. Output, one row per piece: doc_id, start,
@@ -240,12 +295,16 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
 
     A null text is empty and packs as its end id alone; null doc_ids are
     documents like others; repeated rows are packed each; equal sketches order
-    by doc_id. An empty table gives an empty result.
+    by doc_id, then by place in the tokenised table. An empty table gives an
+    empty result.
     """
     space = Workspace(docs.sparkSession, "packing")
     bare = need(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    tokenised = space.put(bare.mapInArrow(partial(_tokenise, vocabulary=vocabulary or default_vocabulary(), end_id=end_id), TOKENISED), "tokenised")
-    ordered = tokenised.repartitionByRange("sketch", "doc_id").sortWithinPartitions("sketch", "doc_id", "n_ids")
+    ids = bare.mapInArrow(partial(_tokenise, vocabulary=vocabulary or default_vocabulary(), end_id=end_id), TOKENISED)
+    tokenised = space.put(ids.withColumn("row", F.monotonically_increasing_id()), "tokenised").withColumn("place", F.coalesce("doc_id", F.lit(FIRST_ID)))
+    ends = bounds(tokenised.select(*ORDER, "n_ids"), task_ids)
+    dealt = tokenised.select(*ORDER, "doc_id", "ids").mapInArrow(partial(_deal, ends=ends), "task int, sketch long, place long, row long, doc_id long, ids binary")
+    ordered = dealt.repartitionById(len(ends) + 1, "task").sortWithinPartitions(*ORDER)
     return ordered.select("doc_id", "ids").mapInArrow(partial(_pack, window=window, with_ids=with_ids), PIECES_IDS if with_ids else PIECES)
 
 

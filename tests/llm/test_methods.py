@@ -87,6 +87,24 @@ def test_op7(spark, duck, ids):
     assert len(by_doc) == len(ids)
 
 
+def test_packing_deals_by_ids(spark):
+    from pyspark.sql import functions as F
+
+    # a third of all rows share a sketch and an id, and a few rows are very long
+    rows = spark.range(3000).select((F.when(F.col("id") % 3 == 0, 7).otherwise(F.xxhash64("id"))).alias("sketch"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("place"), F.col("id").alias("row"), F.when(F.col("id") % 500 == 1, 2000).otherwise(F.col("id") % 50 + 1).alias("n_ids"))
+    ends = packing.bounds(rows, task_ids=5000)
+    keys = sorted((r.sketch, r.place, r.row, r.n_ids) for r in rows.collect())
+    total = sum(k[3] for k in keys)
+    shares = [0] * (len(ends) + 1)
+    for k in keys:
+        shares[packing.bisect_left(ends, k[:3])] += k[3]
+    even = total / -(-total // 5000)
+    assert sum(shares) == total and len(shares) >= 12 and max(shares) <= even * 1.25 + 4000
+    assert packing.bounds(rows.limit(0)) == [] and packing.bounds(rows, task_ids=10**9) == []
+    packed = packing.pack(spark.createDataFrame([(i % 7, "some words " * (i % 90)) for i in range(200)], "doc_id long, text string"), task_ids=1000).collect()
+    assert len({p.sequence_id >> 33 for p in packed}) > 5 and sum(p.length for p in packed) == sum(len(tokens.encoder(tokens.default_vocabulary()).whole("some words " * (i % 90))) // 4 + 1 for i in range(200))
+
+
 def test_packing_prefers_neighbours():
     random.seed(2)
     topics = [[random.randrange(100 * t, 100 * t + 60) for _ in range(400)] for t in range(4)]
