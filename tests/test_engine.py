@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 import random
 
 import pytest
@@ -161,6 +162,34 @@ def alignments(tmp_path_factory):
     return d, ref, reads, other
 
 
+def test_bam_ranges(spark, tmp_path):
+    from genoloom.sources import bam as source
+
+    rng = random.Random(4)
+    reads = []
+    for i in range(30_000):
+        n = rng.choice([0, 1, 50, 101, 150]) if i % 5000 else 100_000  # some records span blocks and ranges
+        reads.append((rng.choice(["1", "2", "*"]), i + 1, rng.randrange(60), 0, "".join(rng.choices("ACGT", k=n)), [rng.randrange(40)] * n, f"{n}M"))
+    path = str(tmp_path / "large.bam")
+    write_bam(path, [("1", 10**6), ("2", 10**6)], reads)
+    whole = source.bam(spark, path, 1 << 40)
+    key = lambda df: sorted((r._seq, r.chrom, r.pos, r.mapq, r.flag, r.seq, bytes(r.qual), str(r.cigar)) for r in df.collect())
+    want = key(whole)
+    assert [(w[0], w[2], w[5]) for w in want] == [(i, r[1], r[4]) for i, r in enumerate(reads)]
+    for split in (20_000, 100_000, 700_000):
+        assert len(source.ranges(spark, source.large(spark, path, split), split)) > 1
+        assert key(source.bam(spark, path, split)) == want
+        assert source.contigs(spark, path, split).count() == 2
+    # a wrong guess is found out
+    place = source.head(path, os.path.getsize(path))[1]
+    assert source.walk(path, os.path.getsize(path), place, 1 << 60)[1] == len(reads)
+    with open(path, "rb") as f:
+        cut = f.read()[:-2000]
+    (tmp_path / "cut.bam").write_bytes(cut)
+    with pytest.raises(Exception, match="ends inside"):
+        source.bam(spark, str(tmp_path / "cut.bam"), 100_000).count()
+
+
 def test_bam(spark, alignments):
     d, ref, reads, other = alignments
     assert engine.run(spark, f'FROM bam "{d}/x.bam" CALL header').text == "reference sequences:\n  7\t1000"
