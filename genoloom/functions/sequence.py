@@ -24,20 +24,24 @@ def revcomp(s: Column) -> Column:
     return F.translate(F.reverse(F.upper(s)), "ACGTU", "TGCAA")
 
 
-def amino_acid(codon: Column) -> Column:
-    """One letter for three bases (U as T); X for anything else."""
-    up = F.translate(F.upper(codon), "U", "T")
-    place = [F.instr(F.lit(BASES), F.substring(up, i, 1)) for i in (1, 2, 3)]
+def _of_codon(codon: Column) -> Column:
+    """One letter for three bases in upper case, with T for U; X for anything else."""
+    place = [F.instr(F.lit(BASES), F.substring(codon, i, 1)) for i in (1, 2, 3)]
     index = (place[0] - 1) * 16 + (place[1] - 1) * 4 + place[2]
-    good = (F.char_length(up) == 3) & (place[0] > 0) & (place[1] > 0) & (place[2] > 0)
+    good = (F.char_length(codon) == 3) & (place[0] > 0) & (place[1] > 0) & (place[2] > 0)
     return F.when(good, F.substr(F.lit(AMINO_ACIDS), index, F.lit(1))).otherwise("X")
 
 
+def amino_acid(codon: Column) -> Column:
+    """One letter for three bases (U as T); X for anything else."""
+    return _of_codon(F.translate(F.upper(codon), "U", "T"))
+
+
 def translated(s: Column, frame: Column) -> Column:
-    """Amino acids of the codons from ``frame`` on; a partial codon is dropped."""
-    count = F.floor((F.char_length(s) - frame) / 3)
-    codons = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: amino_acid(F.substr(s, (frame + i * 3 + 1).cast("int"), F.lit(3))))
-    return F.when(count <= 0, "").otherwise(F.array_join(codons, ""))
+    """Amino acids of the codons from ``frame`` on; a partial codon is dropped. One pass over the sequence."""
+    bases = F.translate(F.substr(s, (frame + 1).cast("int")), "tcaguU", "TCAGTT")
+    codons = F.regexp_extract_all(bases, F.lit("(?s).{3}"), F.lit(0))
+    return F.when(frame >= F.char_length(s), "").otherwise(F.array_join(F.transform(codons, _of_codon), ""))
 
 
 def codon_at(s: Column, i: Column) -> Column:
