@@ -173,23 +173,78 @@ def test_op1(spark, duck, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_suffix_tree_states_sum_to_one():
-    random.seed(1)
-    n = 40
-    counts = np.random.default_rng(0).integers(1, 50, n).astype(float)
-    root = (np.r_[0.0, counts[1:]] + 0.5) / (counts[1:].sum() + 0.5 * n + 3)
-    root[0] = 1 - root[1:].sum()
-    ctx = np.repeat([5, 6], 10)
-    sym = np.tile(np.arange(2, 12), 2).astype(np.int32)
-    k = np.array([90, 3, 3, 3, 3, 3, 3, 3, 3, 3] * 2)
-    deep = np.full(4, 5 << 12 | 6)
-    model = suffix_tree.tree({1: {5: 200, 6: 150}, 2: {5 << 12 | 6: 90}}, root, {1: (ctx, sym, k), 2: (deep, np.array([2, 7, 8, 9], np.int32), np.array([3, 60, 5, 5]))})
-    assert set(model[1][2]) == {5, 6} and set(model[2][2]) == {5 << 12 | 6}
-    every = np.arange(n)
-    for depth, c in ((0, 0), (1, 5), (1, 6), (2, 5 << 12 | 6)):
-        p = 10 ** suffix_tree.score_at(model, depth, np.full(n, c), every, root)
-        p[0] *= root[0]  # the unknown symbol's share is left to the caller
-        assert p.sum() == pytest.approx(1.0)
+def brute_tree(texts, held, k=suffix_tree.KAPPA, longest=suffix_tree.MAX_WORDS):
+    """The log10 probability of each text, from dictionaries of all contexts."""
+    words = [t.lower().split() + ["\n"] for t in texts]
+    train = [w for w, h in zip(words, held) if not h]
+    c = Counter(x for w in train for x in w)
+    norm = sum(c.values()) + 0.5 * (len(c) + 1)
+    least = suffix_tree.LEAST_CONTEXT
+    rare = {x for x in c if c[x] < least and x != "\n"}
+    rare_mass = (sum(c[x] for x in rare) + 0.5 * len(rare) + 0.5) / norm
+    sym = lambda x: "?" if x in rare or x not in c else x
+    root = lambda s: rare_mass if s == "?" else (c[s] + 0.5) / norm
+    after, known = {}, {}
+    for many, ws in ((after, train), (known, words)):
+        for w in ws:
+            for i, x in enumerate(w):
+                for d in range(1, min(longest, i) + 1):
+                    ctx = tuple(w[i - d : i])
+                    if any(sym(y) == "?" for y in ctx):
+                        break
+                    many.setdefault(ctx, Counter())[sym(x)] += 1
+    states = {}
+
+    def p(ctx, s):
+        if not ctx:
+            return root(s)
+        up = p(ctx[1:], s)
+        return (after[ctx][s] + k * up) / (sum(after[ctx].values()) + k) if states.get(ctx) else up
+
+    for ctx in sorted(after, key=len):
+        n = sum(after[ctx].values())
+        gain = sum(m * math.log((m - 1 + k * p(ctx[1:], s)) / ((n - 1 + k) * p(ctx[1:], s))) for s, m in after[ctx].items())
+        states[ctx] = n >= least and gain >= suffix_tree.LEAST_TOTAL
+    out = []
+    for w in words:
+        total, deepest = 0.0, 0
+        for i, x in enumerate(w):
+            d = 0
+            while d < min(longest, i) and sym(w[i - d - 1]) != "?":
+                d += 1
+            ctx = tuple(w[i - d : i])
+            total += math.log10(p(ctx, sym(x)) / root(sym(x)) * (c[x] + 0.5) / norm)
+            deepest = max([deepest] + [j for j in range(1, d + 1) if states.get(ctx[d - j :])])
+        out.append((total, deepest))
+    return out
+
+
+@pytest.fixture(scope="module")
+def phrases(spark):
+    random.seed(4)
+    parts = ["the quick fox runs", "a slow dog sleeps", "of the old town hall", "in a big red house", "he said that she", "rare{}", "the the the the"]
+    texts = [" ".join(random.choice(parts).format(random.randrange(40)) for _ in range(random.randint(0, 25))) for _ in range(120)]
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_suffix_tree_is_the_brute_force_one(spark, phrases):
+    texts, docs = phrases
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    want = brute_tree(texts, held)
+    for group in (50, 10**6):
+        got = {r.doc_id: r for r in suffix_tree.score_documents(docs.repartition(3), group=group).collect()}
+        for i, (score, deepest) in enumerate(want):
+            assert got[i].score == pytest.approx(score, abs=1e-4) and got[i].deepest == deepest
+    assert max(d for _, d in want) == suffix_tree.MAX_WORDS
+
+
+def test_hot_contexts_change_little(spark, phrases):
+    texts, docs = phrases
+    plain = suffix_tree.score_documents(docs).toPandas()
+    hot = suffix_tree.score_documents(docs, hot=60, group=50).toPandas()
+    # successors that a hot context has once share what is left; on so few texts that is some of the mass
+    assert hot.score.sum() == pytest.approx(plain.score.sum(), rel=0.05)
+    assert hot.score.sum() - hot.base_score.sum() > 0.8 * (plain.score.sum() - plain.base_score.sum())
 
 
 def test_op6(spark, duck, texts):
