@@ -1,7 +1,7 @@
 """Shared helpers: a workspace in the cluster's shared folder and Arrow plumbing.
 
-Nothing here keeps data on a machine's own disk: whatever one job leaves for
-another is a table under ``spark.checkpoint.dir``.
+Whatever one job leaves for another is a table under ``spark.checkpoint.dir``,
+the folder that the cluster's machines share.
 """
 
 from __future__ import annotations
@@ -20,9 +20,15 @@ LOWER = UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set."""
+    """The folder all executors share.
+
+    Where none is set, a session on one machine (tests) gets a folder of its
+    own; on a cluster that is an error, as executors wouldn't see it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         found = tempfile.mkdtemp(prefix="genoloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)

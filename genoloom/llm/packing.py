@@ -1,14 +1,17 @@
 """Packing by lexical retrieval.
 
-Documents are tokenised once and written to the shared folder with a lexical
-sketch (two min-hashes of their token ids). Sorted by sketch, documents that
-share words lie near each other; consecutive runs of them are the shards, each
-with a BM25 inverted index of its own. A shard is bounded in documents and in
-tokens. Tasks get ranges of about equal numbers of ids, cut anywhere between two
-rows, so long documents, which lie together, and a sketch that a third of all
-documents share spread over tasks like anything else.
-
-Inside a shard, a seed document opens a window. Its most telling terms query
+Documents are tokenised once and written to the shared folder. Token ids are the
+terms; their document frequencies, the number of documents and the mean length
+are counted over all documents. A fixed random order of the terms, in which
+telling ones (by inverse document frequency) come first, gives each document two
+sketches: its first terms in two such orders. Two documents share a sketch with
+the chance of their weighted Jaccard similarity, so sorted by sketch, documents
+that share telling words lie near each other. Tasks get ranges of about equal
+numbers of ids, cut anywhere between two rows, so long documents, and a sketch
+that a third of all documents share, spread over tasks like anything else.
+
+Consecutive documents of a task up to a bound of ids are a shard with a BM25
+inverted index of its own. A seed document opens a window; all its terms query
 the index, and the best unused neighbours that fit go in; when none fits, the
 best one is cut and what is left of it is the next seed. Windows run on from
 shard to shard, so only a partition's last window is short; it is cut into
@@ -30,8 +33,8 @@ from genoloom.llm.common import Workspace, need
 from genoloom.llm.tokens import default_vocabulary, encoder
 
 WINDOW = 2048
-SHARD_DOCS = 256
-SHARD_IDS = 2_000_000
+#: Ids of a shard, 16 MB; a shard may hold one longer document.
+SHARD_IDS = 4_000_000
 #: Ids a task packs; beyond MOST_TASKS tasks they get more each.
 TASK_IDS = 4_000_000
 MOST_TASKS = 50_000
@@ -39,39 +42,50 @@ MOST_TASKS = 50_000
 MARKS = 4
 #: A null doc_id's place in order.
 FIRST_ID = -(1 << 63)
-QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 
-TOKENISED = "doc_id long, sketch long, n_ids long, ids binary"
+TOKENISED = "doc_id long, n_ids long, ids binary"
 ORDER = ("sketch", "place", "row")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECES_IDS = PIECES + ", ids binary"
 
 
-def term_hash(salt: int, size: int = 1 << 17) -> np.ndarray:
-    """A fixed 31-bit hash of every term id below ``size`` (the splitmix64 finaliser)."""
-    x = np.arange(1, size + 1, dtype=np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(33)).astype(np.int64)
+class Stats:
+    """What all documents together say about terms: document frequencies, documents, mean length."""
+
+    def __init__(self, df: np.ndarray, documents: int, ids: int) -> None:
+        self.df, self.documents, self.mean = df.astype(float), documents, ids / max(1, documents)
+        self.idf = np.log1p((documents - self.df + 0.5) / (self.df + 0.5))
+        self.ranks = [self._rank(salt) for salt in (1, 2)]
+
+    def _rank(self, salt: int) -> np.ndarray:
+        """Each term's place in a random order where a term comes early in proportion to its idf."""
+        x = np.arange(1, len(self.df) + 1, dtype=np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        chance = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53
+        out = np.zeros(len(self.df), np.int64)
+        out[np.argsort(-np.log(np.maximum(chance, 1e-300)) / np.maximum(self.idf, 1e-9), kind="stable")] = np.arange(len(self.df))
+        return out
+
+    def sketch(self, ids: np.ndarray) -> int:
+        one, two = self.ranks
+        return int(one[ids].min()) << 31 | int(two[ids].min())
 
 
 def _tokenise(batches, vocabulary: str, end_id: int):
     bpe = encoder(vocabulary)
     end = np.array([end_id], "<u4").tobytes()
-    one, two = term_hash(1), term_hash(2)
-    schema = pa.schema([("doc_id", pa.int64()), ("sketch", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.binary())])
     for batch in batches:
         out: list = []
         size = 0
         for doc_id, text in zip(batch.column(0), batch.column(1)):
             raw = bpe.encode_one(text.as_py() or "") + end
             ids = np.frombuffer(raw, "<u4")
-            folded = ids & 0x1FFFF
-            sketch = int(one[folded].min()) << 31 | int(two[folded].min())
             # two bytes an id while they fit
             short = ids.max() < 1 << 16
-            out.append((doc_id.as_py(), sketch, len(ids), b"\2" + ids.astype("<u2").tobytes() if short else b"\4" + raw))
+            out.append((doc_id.as_py(), len(ids), b"\2" + ids.astype("<u2").tobytes() if short else b"\4" + raw))
             size += len(raw)
             if size > 8_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -84,6 +98,35 @@ def ids_of(stored: bytes) -> np.ndarray:
     return np.frombuffer(stored, "<u2" if stored[0] == 2 else "<u4", offset=1).astype("<u4")
 
 
+def _frequencies(batches):
+    """In how many of these documents each id occurs."""
+    total = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        for stored in batch.column(0):
+            ids = np.unique(ids_of(stored.as_py()))
+            if ids[-1] >= len(total):
+                total = np.concatenate([total, np.zeros(2 * int(ids[-1]), np.int64)])
+            total[ids] += 1
+    terms = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(total[terms])], names=["term", "n"])
+
+
+def stats_of(tokenised: DataFrame) -> Stats:
+    """Counted over all documents; the driver gets a row for each id of the vocabulary at most."""
+    rows = tokenised.select("ids").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    terms, n = rows["term"].to_numpy(), rows["n"].to_numpy()
+    df = np.zeros(int(terms.max(initial=0)) + 1, np.int64)
+    df[terms] = n
+    told = tokenised.agg(F.count(F.lit(1)).alias("n"), F.sum("n_ids").alias("ids")).first()
+    return Stats(df, told.n, told.ids or 0)
+
+
+def _sketch(batches, stats: Stats):
+    for batch in batches:
+        found = [stats.sketch(ids_of(x.as_py())) for x in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *batch.columns[1:]], names=["sketch", *batch.schema.names[1:]])
+
+
 def _marks(batches, step: int):
     """Of rows in order, the last of every run of ``step`` ids with the number of ids in the run."""
     schema = pa.schema([(n, pa.int64()) for n in (*ORDER, "n")])
@@ -121,102 +164,112 @@ def bounds(rows: DataFrame, task_ids: int = TASK_IDS, most_tasks: int = MOST_TAS
     return found
 
 
-def _deal(batches, ends: list):
-    """The task of each row, before its doc_id, order and ids."""
+def _deal(batches, ends: list, stats: Stats):
+    """The task of each row and its sketch, before its order, doc_id and ids."""
     for batch in batches:
-        keys = zip(*(batch.column(n).to_pylist() for n in ORDER))
+        sketch = [stats.sketch(ids_of(x.as_py())) for x in batch.column("ids")]
+        keys = zip(sketch, batch.column("place").to_pylist(), batch.column("row").to_pylist())
         task = pa.array([bisect_left(ends, k) for k in keys], pa.int32())
-        yield pa.RecordBatch.from_arrays([task, *batch.columns], names=["task", *batch.schema.names])
+        yield pa.RecordBatch.from_arrays([task, pa.array(sketch, pa.int64()), *batch.columns], names=["task", "sketch", *batch.schema.names])
 
 
 class Shard:
-    """A BM25 inverted index over some documents' token ids."""
-
-    def __init__(self, docs: list[np.ndarray]) -> None:
-        n = len(docs)
-        terms, counts = zip(*[np.unique(d[:-1], return_counts=True) for d in docs])
-        lengths = np.array([max(1, len(d)) for d in docs], float)
-        owner = np.repeat(np.arange(n), [len(t) for t in terms])
-        term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(float)
+    """A BM25 inverted index over some documents' token ids, weighed by the statistics of all documents."""
+
+    def __init__(self, docs: list[np.ndarray], stats: Stats) -> None:
+        self.n = n = len(docs)
+        self.terms, self.counts = zip(*[np.unique(d[:-1], return_counts=True) for d in docs])
+        owner = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in self.terms])
+        term, tf = np.concatenate(self.terms).astype(np.int64), np.concatenate(self.counts).astype(float)
+        length = np.array([len(d) for d in docs], float)[owner]
+        weight = (stats.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / stats.mean))).astype(np.float32)
         order = np.argsort(term, kind="stable")
-        self.doc, term, tf = owner[order], term[order], tf[order]
-        self.vocabulary, first, df = np.unique(term, return_index=True, return_counts=True)
-        self.first, self.last = first, first + df
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = tf + K1 * (1 - B + B * lengths[self.doc] / lengths.mean())
-        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / norm
-        self.idf, self.df, self.terms, self.counts, self.n = idf, df, terms, counts, n
+        self.doc, self.weight = owner[order], weight[order]
+        self.vocabulary, self.first, self.df = np.unique(term[order], return_index=True, return_counts=True)
+        # postings that hold many of the documents are rows of a matrix
+        common = np.flatnonzero(8 * self.df > n)
+        self.row = np.full(len(self.vocabulary), -1)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), n), np.float32)
+        for i, t in enumerate(common):
+            at = slice(self.first[t], self.first[t] + self.df[t])
+            self.matrix[i, self.doc[at]] = self.weight[at]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Every document's BM25 score for all terms of the seed, as often as it holds them."""
+        at, times = np.searchsorted(self.vocabulary, self.terms[seed]), self.counts[seed].astype(np.float32)
+        row = self.row[at]
+        query = np.zeros(len(self.matrix), np.float32)
+        query[row[row >= 0]] = times[row >= 0]
+        at, times = at[row < 0], times[row < 0]
+        many = self.df[at]
+        places = np.repeat(self.first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        rest = np.bincount(self.doc[places], self.weight[places] * np.repeat(times, many), minlength=self.n)
+        return query @ self.matrix + rest
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """All other documents by falling BM25 score for the seed's most telling shared terms."""
-        at = np.searchsorted(self.vocabulary, self.terms[seed])
-        gain = np.where(self.df[at] > 1, self.idf[at] * np.minimum(self.counts[seed], 4), 0.0)
-        if len(at) > QUERY_TERMS:
-            at = at[np.argpartition(-gain, QUERY_TERMS)[:QUERY_TERMS]]
-        scores = np.zeros(self.n)
-        for t in at.tolist():
-            a, b = self.first[t], self.last[t]
-            scores[self.doc[a:b]] += self.weight[a:b]
-        return np.argsort(-scores, kind="stable")
-
-
-def arrange(docs: list[np.ndarray], gap: int, window: int = WINDOW):
+        """All documents by falling score; ties in shard order."""
+        return np.argsort(-self.scores(seed), kind="stable")
+
+
+def arrange(docs: list[np.ndarray], gap: int, window: int, stats: Stats):
     """Pieces (document, start, length) of one shard in packing order.
 
     ``gap``: room in the window left open by the shard before. Yields every
     piece once; the caller lays them end to end.
     """
-    left = [len(d) for d in docs]
+    left = np.array([len(d) for d in docs])
     done = [0] * len(docs)
-    index = Shard(docs) if len(docs) > 1 else None
-    unused = dict.fromkeys(range(len(docs)))
-    ranked: list[int] = []
+    index = Shard(docs, stats) if len(docs) > 1 else None
+    first = 0  # no document before it is unused
 
     def take(d: int, length: int):
         piece = (d, done[d], length)
         done[d] += length
         left[d] -= length
-        if not left[d]:
-            unused.pop(d, None)
         return piece
 
     seed = None
-    while unused:
+    while True:
         if seed is None or not left[seed]:
-            seed = next(iter(unused))
+            while first < len(docs) and not left[first]:
+                first += 1
+            if first == len(docs):
+                return
+            seed = first
         if left[seed] >= gap:
             yield take(seed, gap)
             gap = window
             continue
-        if left[seed]:
-            gap -= left[seed]
-            yield take(seed, left[seed])
-        ranked = index.neighbours(seed).tolist() if index and unused else []
-        cut = None
-        for d in ranked:
-            if d not in unused:
-                continue
-            if cut is None:
-                cut = d
-            if left[d] <= gap:
-                gap -= left[d]
-                yield take(d, left[d])
-                if cut == d:
-                    cut = None
-                if not gap:
-                    break
+        gap -= int(left[seed])
+        yield take(seed, int(left[seed]))
+        ranked = index.neighbours(seed) if index else np.zeros(0, int)
+        ranked = ranked[left[ranked] > 0]
+        at = 0
+        while gap:
+            # room only shrinks, so what didn't fit won't
+            fits = np.flatnonzero(left[ranked[at:]] <= gap)
+            if not len(fits):
+                break
+            at += int(fits[0])
+            gap -= int(left[ranked[at]])
+            yield take(int(ranked[at]), int(left[ranked[at]]))
+            at += 1
+        seed = None
         if not gap:
-            gap, seed = window, None
-        elif unused:
+            gap = window
+            continue
+        rest = ranked[left[ranked] > 0]
+        if len(rest):
             # nothing fits: the best neighbour is cut, and leads the next window
-            seed = cut if cut is not None and left[cut] else next(iter(unused))
+            seed = int(rest[0])
             yield take(seed, gap)
             gap = window
-            if not left[seed]:
-                seed = None
+        else:
+            return
 
 
-def _pack(batches, window: int, with_ids: bool):
+def _pack(batches, window: int, with_ids: bool, stats: Stats, shard_ids: int):
     from pyspark import TaskContext
 
     base = TaskContext.get().partitionId() << 33
@@ -247,7 +300,7 @@ def _pack(batches, window: int, with_ids: bool):
     def shard(rows):
         nonlocal used, open_window
         docs = [ids for _, ids in rows]
-        for d, start, length in arrange(docs, window - used, window):
+        for d, start, length in arrange(docs, window - used, window, stats):
             open_window.append((rows[d][0], docs[d], start, length, len(docs[d])))
             used += length
             if used == window:
@@ -260,7 +313,7 @@ def _pack(batches, window: int, with_ids: bool):
         for name, stored in zip(batch.column(0), batch.column(1)):
             held.append((name.as_py(), ids_of(stored.as_py())))
             size += len(held[-1][1])
-            if len(held) >= SHARD_DOCS or size >= SHARD_IDS:
+            if size >= shard_ids:
                 shard(held)
                 held, size = [], 0
                 if out:
@@ -284,28 +337,31 @@ def _pack(batches, window: int, with_ids: bool):
         yield flush()
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window: int = WINDOW, with_ids: bool = True, task_ids: int = TASK_IDS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window: int = WINDOW, with_ids: bool = True, task_ids: int = TASK_IDS, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of at most ``window`` ids.
 
-    ``window`` is a power of two. Output, one row per piece: doc_id, start,
-    length, ids_crc32, doc_tokens, sequence_id, offset and, unless
-    ``with_ids`` is False, the piece's ids (little-endian unsigned 32-bit).
-    Every id lies in exactly one piece. Sequences are full or, at a
-    partition's end, a power of two long, so none needs padding.
+    ``window`` is a power of two; ``task_ids``, ``shard_ids``: ids of a task and
+    of a shard. Output, one row per piece: doc_id, start, length, ids_crc32,
+    doc_tokens, sequence_id, offset and, unless ``with_ids`` is False, the
+    piece's ids (little-endian unsigned 32-bit). Every id lies in exactly one
+    piece. Sequences are full or, at a partition's end, a power of two long, so
+    none needs padding.
 
     A null text is empty and packs as its end id alone; null doc_ids are
     documents like others; repeated rows are packed each; equal sketches order
     by doc_id, then by place in the tokenised table. An empty table gives an
-    empty result.
+    empty result. Extra columns are ignored.
     """
     space = Workspace(docs.sparkSession, "packing")
     bare = need(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     ids = bare.mapInArrow(partial(_tokenise, vocabulary=vocabulary or default_vocabulary(), end_id=end_id), TOKENISED)
     tokenised = space.put(ids.withColumn("row", F.monotonically_increasing_id()), "tokenised").withColumn("place", F.coalesce("doc_id", F.lit(FIRST_ID)))
-    ends = bounds(tokenised.select(*ORDER, "n_ids"), task_ids)
-    dealt = tokenised.select(*ORDER, "doc_id", "ids").mapInArrow(partial(_deal, ends=ends), "task int, sketch long, place long, row long, doc_id long, ids binary")
+    stats = stats_of(tokenised)
+    keys = tokenised.select("ids", "place", "row", "n_ids").mapInArrow(partial(_sketch, stats=stats), "sketch long, place long, row long, n_ids long")
+    ends = bounds(space.put(keys, "keys"), task_ids)
+    dealt = tokenised.select("place", "row", "doc_id", "ids").mapInArrow(partial(_deal, ends=ends, stats=stats), "task int, sketch long, place long, row long, doc_id long, ids binary")
     ordered = dealt.repartitionById(len(ends) + 1, "task").sortWithinPartitions(*ORDER)
-    return ordered.select("doc_id", "ids").mapInArrow(partial(_pack, window=window, with_ids=with_ids), PIECES_IDS if with_ids else PIECES)
+    return ordered.select("doc_id", "ids").mapInArrow(partial(_pack, window=window, with_ids=with_ids, stats=stats, shard_ids=shard_ids), PIECES_IDS if with_ids else PIECES)
 
 
 def op7_retrieval_packing(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import Workspace, need
+from genoloom.llm.common import Workspace, need, text_hash
 from genoloom.llm.tokens import default_vocabulary, encoder
 
 MAGIC = b"S8B1"
@@ -130,13 +130,36 @@ def write_image(doc_ids: list, ids: list[np.ndarray]) -> bytes:
     return b"".join([head, names, starts.tobytes(), offsets.tobytes(), escapes.astype("<u8").tobytes(), *[b.astype("<u8").tobytes() for b in blocks]])
 
 
-def read_image(image: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    """(doc_ids, first id of each document and the end, all ids) of a file image."""
+def _header(image: bytes) -> tuple[int, int, int, int]:
+    """(documents, ids, blocks, escapes) of a file image."""
     if image[:4] != MAGIC:
         raise ValueError("not a Simple-8b token file")
-    docs = int(np.frombuffer(image, "<u4", 1, 4)[0])
-    n = int(np.frombuffer(image, "<u8", 1, 8)[0])
-    blocks, big = (int(x) for x in np.frombuffer(image, "<u4", 2, 16))
+    return int(np.frombuffer(image, "<u4", 1, 4)[0]), int(np.frombuffer(image, "<u8", 1, 8)[0]), *(int(x) for x in np.frombuffer(image, "<u4", 2, 16))
+
+
+def read_range(image: bytes, start: int, end: int) -> np.ndarray:
+    """Ids ``start`` to ``end`` of a file image; only the blocks they lie in are decoded."""
+    docs, n, blocks, big = _header(image)
+    end = min(end, n)
+    if start >= end:
+        return np.zeros(0, np.uint64)
+    at = 24 + 9 * docs + 8 * (docs + 1)
+    offsets = np.frombuffer(image, "<u8", blocks + 1, at).astype(np.int64)
+    at += 8 * (blocks + 1)
+    escapes = np.frombuffer(image, "<u8", 2 * big, at).reshape(-1, 2)
+    at += 16 * big
+    first, last = start // BLOCK, (end - 1) // BLOCK
+    words = np.frombuffer(image, "<u8", int(offsets[last + 1] - offsets[first]), at + 8 * int(offsets[first])).astype(np.uint64)
+    base = first * BLOCK
+    ids = unpack_words(words, min(n, (last + 1) * BLOCK) - base)
+    here = escapes[np.searchsorted(escapes[:, 0], base) : np.searchsorted(escapes[:, 0], base + len(ids))]
+    ids[here[:, 0].astype(np.int64) - base] = here[:, 1]
+    return ids[start - base : end - base]
+
+
+def read_image(image: bytes) -> tuple[list, np.ndarray, np.ndarray]:
+    """(doc_ids, first id of each document and the end, all ids) of a file image."""
+    docs, n, blocks, big = _header(image)
     at = 24
     names = np.frombuffer(image, "<i8", docs, at)
     at += 8 * docs
@@ -200,13 +223,15 @@ def _decode(batches):
 def write_ids(docs: DataFrame, space: Workspace, vocabulary: str | None = None, end_id: int = 0, per_file: int = IDS_PER_FILE) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write the file images; the table of images.
 
-    Documents are range-partitioned by doc_id and sorted, so (part, file) order
-    is doc_id order. A null text is empty, a null doc_id comes first, documents
-    with the same doc_id order by their texts' hash. A document is never split
-    over files; every document ends with ``end_id``. An empty table writes none.
+    Documents are range-partitioned by doc_id and their texts' hash, so that rows
+    without an id, or with the same one, spread too, and sorted, so (part, file)
+    order is doc_id order. A null text is empty, a null doc_id comes first. A
+    document is never split over files; every document ends with ``end_id``. A
+    document whose ids need 2 GB or more doesn't fit a file's row and raises an
+    error. An empty table writes none.
     """
-    ordered = need(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", text_hash().alias("text_hash"))
+    ordered = ordered.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash").select("doc_id", "text")
     run = partial(_encode, vocabulary=vocabulary or default_vocabulary(), end_id=end_id, per_file=per_file)
     return space.put(ordered.mapInArrow(run, IMAGES), "images")
 

@@ -73,7 +73,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = Words(self.tokenizer)
         self.heads: dict[str, bytes] = {}
 
@@ -94,6 +94,8 @@ class Encoder:
         words = self.words
         if len(words) > CACHE_WORDS:
             words.clear()
+        if any(mark in text for mark in self.added):
+            return self.whole(text)
         cut = text.split(" ")
         if cut[0][-1:].isspace() and len(cut) > 1 and not cut[1]:
             return self.whole(text)
