@@ -306,8 +306,25 @@ def test_hot_contexts_change_little(spark, phrases):
     plain = suffix_tree.score_documents(docs).toPandas()
     hot = suffix_tree.score_documents(docs, hot=60, group=50).toPandas()
     # successors that a hot context has once share what is left; on so few texts that is some of the mass
-    assert hot.score.sum() == pytest.approx(plain.score.sum(), rel=0.05)
-    assert hot.score.sum() - hot.base_score.sum() > 0.8 * (plain.score.sum() - plain.base_score.sum())
+    assert hot.score.sum() == pytest.approx(plain.score.sum(), rel=0.1)
+    assert hot.score.sum() - hot.base_score.sum() > 0.7 * (plain.score.sum() - plain.base_score.sum())
+
+
+def test_states_of_hot_contexts_sum_to_one():
+    n = 40
+    root = np.random.default_rng(0).random(n)
+    root /= root.sum()
+    upper = suffix_tree.Upper(2)
+    one = np.sort(suffix_tree.mixed(np.array([5, 6], np.uint64)))
+    upper.add(1, one, np.array([200, 150]), np.repeat([0, 1], 10), np.tile(np.arange(2, 12), 2), np.array([90, 3, 3, 3, 3, 3, 3, 3, 3, 3] * 2), {}, root)
+    two = suffix_tree.mixed(np.array([5], np.uint64) ^ one[:1])
+    upper.add(2, two, np.array([90]), np.zeros(4, int), np.array([2, 7, 8, 9]), np.array([3, 60, 5, 5]), {int(two[0]): [one[0]]}, root)
+    assert (upper.total[0] > 0).all() and (upper.total[1] > 0).all()
+    every = np.arange(n)
+    for depth in (0, 1, 2):
+        hashes = [np.full(n, one[0]), np.full(n, two[0])]
+        a, b, deep = upper.weights(hashes, every, np.full(n, depth, np.uint8))
+        assert (a + b * root).sum() == pytest.approx(1.0) and (deep == depth).all()
 
 
 def test_op6(spark, duck, texts):
