@@ -6,14 +6,19 @@ one state row per digest in a RocksDB state store, without watermark or
 expiry: how often the digest came, and the identifier and locator of the row
 that stays. State is on disk and recovers from the query's checkpoint.
 
-A digest match is only a candidate. The final check groups the full normalised
-bytes under each digest (aggregated before the shuffle, so a hot group sends
-one row per task); where one digest covers several texts, the groups come from
-the bytes instead of from the state.
+A digest match is only a candidate. Hits, arrivals whose digest the state has
+seen more than once, are found again by a filter of fixed size over those
+digests, and their full normalised bytes are compared (aggregated before the
+shuffle, so a hot group sends one row per task); where one digest covers several
+texts, the groups come from the bytes instead of from the state. Texts whose
+digest came once are not read for this beyond the filter, nor shuffled.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +31,9 @@ STATE = {
 }
 
 
+FILTER_BITS = 26
+
+
 def digest_of(column="text"):
     """SHA-256 of the normalised text."""
     return F.unhex(F.sha2(lower_ascii(F.coalesce(F.col(column), F.lit(""))).cast("binary"), 256))
@@ -78,6 +86,26 @@ def state_of(arrivals: DataFrame, path: str, space: Workspace, files_per_batch:
     return last.select("digest", "last.seen", "last.stays")
 
 
+def _filter(hits: DataFrame) -> np.ndarray:
+    """Bits of the hashes of these digests; of fixed size, however many there are."""
+    low = F.xxhash64("digest").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    rows = hits.select(F.shiftright(low, 3).alias("at"), F.expr("shiftleft(1, cast(xxhash64(digest) & 7 as int))").alias("bit"))
+    table = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    out[table["at"].to_numpy()] = table["bits"].to_numpy()
+    return out
+
+
+def _told(batches, bits: np.ndarray):
+    """The rows whose hash (the first column) the filter has."""
+    import pyarrow as pa
+
+    for batch in batches:
+        low = batch.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)
+        keep = bits[low >> 3] >> (low & 7).astype(np.uint8) & 1
+        yield batch.filter(pa.array(keep.astype(bool)))
+
+
 def exact_dedup(docs: DataFrame, files_per_batch: int = 256) -> DataFrame:
     """Groups of equal texts, equal meaning identical once A-Z are lower-cased.
 
@@ -96,10 +124,14 @@ def exact_dedup(docs: DataFrame, files_per_batch: int = 256) -> DataFrame:
     numbered = arrivals.select("digest", "doc_id", "row")
     found = numbered.join(state.select("digest", "seen", F.col("stays.doc_id").alias("keep_id"), F.col("stays.row").alias("keep_row")), "digest")
 
-    # full bytes: digests that stand for more than one text
-    variants = need(docs, "doc_id", "text").select(
-        lower_ascii(F.coalesce("text", F.lit(""))).alias("body"), "doc_id", F.monotonically_increasing_id().alias("row"))
-    variants = variants.withColumn("digest", F.unhex(F.sha2(F.col("body").cast("binary"), 256)))
+    # full bytes of the hits: digests that stand for more than one text
+    hits = state.where("seen > 1").select("digest")
+    body = lower_ascii(F.coalesce("text", F.lit("")))
+    texts = need(docs, "doc_id", "text").select(body.alias("body"), "doc_id", F.monotonically_increasing_id().alias("row"))
+    texts = texts.withColumn("digest", F.unhex(F.sha2(F.col("body").cast("binary"), 256)))
+    texts = texts.select(F.xxhash64("digest").alias("hash"), "digest", "body", "doc_id", "row")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema)
+    variants = texts.mapInArrow(partial(_told, bits=_filter(hits)), schema).drop("hash")
     bodies = variants.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"))
     clashes = space.put(bodies.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "clashes")
     if clashes.limit(1).count():

@@ -1,14 +1,15 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Each document gets a hash-random key. Within a source the documents are sorted
-by key range (bucket of leading key bits, then key), a distributed prefix sum
-of their word counts runs over the buckets and inside each bucket, and the
-source is cut at its exact budget. A budget above the source's size takes whole
-epochs first and cuts the last one.
-
-Nothing is collected: bucket sums are at most one row per source and bucket,
-and no bucket holds more than about ``rows_per_bucket`` rows of one source
-unless that many share a key, so a hot source is spread over many tasks.
+Each document gets a hash-random key of its id and text. Within a source the
+documents are sorted by key range (bucket of leading key bits, then key), a
+distributed prefix sum of their word counts runs over the buckets and inside
+each bucket, and the source is cut at its exact budget. A budget above the
+source's size takes whole epochs first and cuts the last one.
+
+There are about as many buckets in a source as rows in a bucket: the prefix sum
+over the buckets and the one inside a bucket both see the square root of the
+rows, so a hot source is spread over many tasks. Sources are ranked and summed
+by range partitions too, so there may be many of them; the driver gets sums only.
 """
 
 from __future__ import annotations
@@ -28,12 +29,29 @@ def word_count(column: Column) -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def random_key(doc_id: Column, seed: int) -> Column:
-    """A hash-random, reproducible sort key."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def random_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """A hash-random, reproducible sort key; rows share one only if they share id and text."""
+    body = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), body))
 
 
-def targets(sizes: DataFrame, weights=WEIGHTS, share=(3, 2), epochs: int = 2) -> DataFrame:
+def running(rows: DataFrame, order: list[Column], sums: dict[str, str], space: Workspace, name: str) -> DataFrame:
+    """``rows`` with, for each entry of ``sums``, the sum of an expression over all rows before, by ``order``.
+
+    Rows are range-partitioned; a partition sums its own rows, and one row per
+    partition is summed by itself.
+    """
+    ranged = space.put(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("_part").agg(*[F.sum(F.expr(x)).alias(f"_{k}") for k, x in sums.items()])
+    parts = parts.select("_part", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums])
+    own = ranged.select("*", *[F.coalesce(F.sum(F.expr(x)).over(inside), F.lit(0)).alias(k) for k, x in sums.items()])
+    joined = own.join(parts, "_part")
+    return joined.select(*rows.columns, *[(F.col(k) + F.col(f"_{k}")).cast("long").alias(k) for k in sums])
+
+
+def targets(sizes: DataFrame, space: Workspace, weights=WEIGHTS, share=(3, 2), epochs: int = 2) -> DataFrame:
     """``sizes`` (source, source_size) with each source's target.
 
     All targets sum to ``share`` (a fraction) of all words unless every source
@@ -42,32 +60,26 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=(3, 2), epochs: int = 2) ->
     target = min(cap, weight * L), found by sorting sources by cap / weight.
     Sources order by code point (UTF-8 bytes), null last.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
+    by_name = [F.col("source").isNull(), F.col("source").cast("binary")]
+    named = running(sizes, by_name, {"nth": "1"}, space, "by-name")
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("nth") % len(weights) + 1).cast("int")).cast("long")
-    ranked = sizes.withColumn("nth", F.row_number().over(by_name) - 1).withColumn("weight", weight)
-    ranked = ranked.withColumn("cap", F.col("source_size") * epochs)
-    # ascending cap / weight, ties by name; sums over all and over those before
-    by_fill = Window.orderBy(F.col("cap") / F.col("weight"), "nth")
-    before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(1))
+    named = named.withColumn("weight", weight).withColumn("cap", F.col("source_size") * epochs)
+    # ascending cap / weight, ties by name
+    filled = space.put(running(named, [F.col("cap") / F.col("weight"), F.col("nth")], {"cap_before": "cap", "weight_before": "weight"}, space, "by-fill"), "filled")
+    told = filled.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
     # in parts of 1 / share[1] word, so that all stays whole numbers
-    total = F.sum("source_size").over(whole) * share[0]
-    ranked = ranked.select(
-        "source", "source_size", "weight", "cap", "nth", total.alias("total"),
-        F.coalesce(F.sum("cap").over(before), F.lit(0)).alias("cap_before"),
-        (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("weight_left"),
-    )
-    rest = F.col("total") - F.col("cap_before") * share[1]
+    total = (told.words or 0) * share[0]
+    weight_left = F.lit(told.weight or 0) - F.col("weight_before")
     # a source is full when the level it would get, with all before it full, exceeds its cap
-    full = F.col("cap") * F.col("weight_left") * share[1] <= rest * F.col("weight")
-    ranked = ranked.withColumn("full", full)
-    first_open = F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), "nth", "cap_before", "weight_left"))).over(whole)
-    ranked = ranked.withColumn("open", first_open)
-    share_of = (F.col("weight") * (F.col("total") - F.col("open.cap_before") * share[1])).cast("double") / (F.col("open.weight_left") * share[1])
-    return ranked.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share_of).alias("target"))
+    full = F.col("cap") * weight_left * share[1] <= (F.lit(total) - F.col("cap_before") * share[1]) * F.col("weight")
+    open_ = filled.where(~full).orderBy(F.col("cap") / F.col("weight"), "nth").select("cap_before", weight_left.alias("weight_left")).first()
+    if open_ is None:
+        return filled.select("source", "source_size", F.col("cap").cast("double").alias("target"))
+    share_of = (F.col("weight") * F.lit(total - open_.cap_before * share[1])).cast("double") / F.lit(open_.weight_left * share[1])
+    return filled.select("source", "source_size", F.when(full, F.col("cap").cast("double")).otherwise(share_of).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=(3, 2), epochs: int = 2, seed: int = 17, rows_per_bucket: int = 8_000) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share=(3, 2), epochs: int = 2, seed: int = 17, bucket_bits: int | None = None) -> DataFrame:
     """How many words the mix takes of each document.
 
     Input columns: doc_id, text, source; others are ignored. Output: doc_id,
@@ -75,8 +87,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=(3, 2), epochs: int = 2, seed: i
     text_hash, which tells texts of one doc_id apart.
 
     A null text has size 0; null sources form one source, last in order. A
-    repeated row counts as a document of its own; ties in the key order by
-    doc_id, then size, so reruns agree. A source without words has target 0.
+    repeated row counts as a document of its own; only rows equal in id and text
+    tie, and for these it doesn't matter which comes first, so reruns agree over
+    any partitioning. ``bucket_bits``: a source has 2 to that power buckets; by
+    default the square root of all rows. A source without words has target 0.
     An empty table gives an empty result. No document exceeds ``epochs`` times
     its size.
     """
@@ -84,21 +98,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=(3, 2), epochs: int = 2, seed: i
     space = Workspace(spark, "mixing")
     sized = space.put(
         need(docs, "doc_id", "text", "source").select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"), text_hash().alias("text_hash"), random_key(F.col("doc_id"), seed).alias("key")),
+            "doc_id", "source", word_count(F.col("text")).alias("size"), text_hash().alias("text_hash"), random_key(F.col("doc_id"), F.col("text"), seed).alias("key")),
         "sized")
-    rows = sized.count()
-    bits = max(0, (max(1, rows) // max(1, rows_per_bucket)).bit_length())
-    bucket = F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - min(bits, 31))
+    bits = min(31, sized.count().bit_length() // 2 + 1 if bucket_bits is None else bucket_bits)
+    bucket = F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - bits)
     sized = sized.withColumn("bucket", bucket)
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sizes = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
-    aims = targets(sizes, weights, share, epochs)
+    aims = targets(space.put(sizes, "sizes"), space, weights, share, epochs)
     ordered = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("words").over(ordered), F.lit(0)).alias("bucket_start"))
     offsets = space.put(
         offsets.alias("o").join(aims.alias("a"), F.col("o.source").eqNullSafe(F.col("a.source")))
         .select("o.source", "o.bucket", "bucket_start", "source_size", "target"), "offsets")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.alias("p").join(
         offsets.alias("o"), F.col("p.source").eqNullSafe(F.col("o.source")) & (F.col("p.bucket") == F.col("o.bucket")))
@@ -118,7 +131,7 @@ ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 named AS (
@@ -140,7 +153,7 @@ aims AS (
   FROM filled),
 placed AS (
   SELECT s.doc_id, s.size, a.source_size, a.target, CAST(floor(a.target) AS BIGINT) AS budget,
-         CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size
+         CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source),
 turned AS (

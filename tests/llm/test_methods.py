@@ -394,12 +394,59 @@ def test_stream_in_many_batches(spark, duck):
     assert one == {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs).collect()}
 
 
+def test_clashing_digests_are_told_apart(spark, monkeypatch):
+    # a digest of one byte, so that many texts share it
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, bits: F.substring(F.md5(c), 1, 2))
+    texts = [f"text number {i % 150}" if i % 3 else f"TEXT Number {i % 150}" for i in range(600)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(t.lower(), []).append(i)
+    assert len(got) == 600 and len({r.digest for r in got}) < 150
+    for r in got:
+        mine = groups[texts[r.doc_id].lower()]
+        assert (r.keep_id, r.group_size, r.kept) == (max(mine), len(mine), r.doc_id == max(mine))
+
+
 def test_mix_in_small_buckets(spark, duck):
     docs = spark.read.parquet(f"{duck.base}/documents.parquet")
-    few, many = (sorted(map(tuple, mixing.mix(docs, rows_per_bucket=n).collect())) for n in (5, 10_000))
+    few, many = (sorted(map(tuple, mixing.mix(docs, bucket_bits=n).collect())) for n in (7, 0))
     assert few == many
 
 
+def test_mix_agrees_over_partitionings(spark):
+    rows = [(None if i % 3 else i % 5, f"some text {i % 40} " * (i % 4), "abc"[i % 3] if i % 7 else None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plans = [sorted(map(repr, mixing.mix(docs.repartition(n)).collect())) for n in (1, 7)]
+    assert plans[0] == plans[1]
+
+
+def brute_targets(sizes, weights=(3, 1, 2)):
+    """Targets by sharing the excess again until none is above its cap."""
+    names = sorted(sizes, key=lambda x: (x is None, (x or "").encode()))
+    weight = {n: weights[i % 3] for i, n in enumerate(names)}
+    full, left = set(), 1.5 * sum(sizes.values())
+    while True:
+        open_ = [n for n in names if n not in full]
+        rest = left - sum(2 * sizes[n] for n in full)
+        over = [n for n in open_ if rest * weight[n] / sum(weight[m] for m in open_) >= 2 * sizes[n]]
+        if not over:
+            return {n: 2 * sizes[n] if n in full else rest * weight[n] / sum(weight[m] for m in open_) for n in names}
+        full |= set(over)
+
+
+def test_targets_are_the_brute_force_ones(spark):
+    random.seed(6)
+    for n in (1, 2, 5, 60):
+        sizes = {(f"s{i}é" if i else None): int(10 ** random.uniform(0, 5)) for i in range(n)}
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in mixing.targets(df, Workspace(spark, "test")).collect()}
+        want = brute_targets(sizes)
+        assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.lists(st.integers(-90, 90) | st.just(0), min_size=4, max_size=4), min_size=1, max_size=40), st.integers(1, 8), st.integers(1, 50))
 def test_accumulate_and_select(rows, k, cut):
