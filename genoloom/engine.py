@@ -108,4 +108,4 @@ def eval_expr(spark: SparkSession, text: str, variables: dict | None = None):
     """The value of an expression without fields; None where it fails."""
     e = parser.parse_expr(text)
     check_calls(e)
-    return spark.range(1).select(when_ok(lower(e, Scope({}, variables or {}))).alias("v")).first()["v"]
+    return sinks.cell(spark.range(1).select(when_ok(lower(e, Scope({}, variables or {}))).alias("v")).first()["v"])

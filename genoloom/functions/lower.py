@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import functions as F
 
 from genoloom.functions.registry import FUNCTIONS, ieee_divide
-from genoloom.functions.values import Value, either, truthy
+from genoloom.functions.values import Value, choice, each, either, truthy
 from genoloom.lang import ast
 
 NULL = "null"
@@ -58,45 +58,64 @@ def lower(e, scope: Scope) -> Value:
     if isinstance(e, ast.Call):
         return FUNCTIONS[e.name.lower()].lower([lower(a, scope) for a in e.args])
     if isinstance(e, ast.Unary):
-        x = lower(e.arg, scope)
-        if e.op == "NOT":
-            if x.type == NULL:
-                return Value(F.lit(True), "bool", x.err)
-            return Value(F.coalesce(~x.col, F.lit(True)), "bool", x.err) if x.type == "bool" else Value(F.lit(None).cast("boolean"), "bool", True)
-        if x.type not in ("int", "float"):
-            return Value(F.lit(None).cast("double"), "float", True)
-        err = either(x.err, x.col.isNull())
-        return Value(wrapped("-", F.lit(0).cast("long"), x.col) if x.type == "int" else -x.col, x.type, err)
+        return unary(e.op, lower(e.arg, scope))
     left, right = lower(e.left, scope), lower(e.right, scope)
     if e.op in ("AND", "OR"):
         return logic(e.op, left, right)
-    if e.op in ("=", "!="):
+    return binary(e.op, left, right)
+
+
+def unary(op: str, x: Value) -> Value:
+    if x.type == "any":
+        return each(x, "bool" if op == "NOT" else "float", lambda v: unary(op, v))
+    if op == "NOT":
+        if x.type == NULL:
+            return Value(F.lit(True), "bool", x.err)
+        return Value(F.coalesce(~x.col, F.lit(True)), "bool", x.err) if x.type == "bool" else Value(F.lit(None).cast("boolean"), "bool", True)
+    if x.type not in ("int", "float"):
+        return Value(F.lit(None).cast("double"), "float", True)
+    err = either(x.err, x.col.isNull())
+    return Value(wrapped("-", F.lit(0).cast("long"), x.col) if x.type == "int" else -x.col, x.type, err)
+
+
+def binary(op: str, left: Value, right: Value) -> Value:
+    """Comparison and arithmetic."""
+    if op in ("=", "!="):
         same = equal(left, right)
-        return Value(same if e.op == "=" else ~same, "bool", either(left.err, right.err))
+        return Value(same if op == "=" else ~same, "bool", either(left.err, right.err))
+    result = "bool" if op in ("<", ">", "<=", ">=") else "float"
+    if left.type == "any":
+        return each(left, result, lambda v: binary(op, v, right))
+    if right.type == "any":
+        return each(right, result, lambda v: binary(op, left, v))
     kinds = {left.type, right.type}
     if not kinds <= {"int", "float"}:
-        return Value(F.lit(None).cast("boolean" if e.op in ("<", ">", "<=", ">=") else "double"), "bool" if e.op in ("<", ">", "<=", ">=") else "float", True)
+        return Value(F.lit(None).cast("boolean" if op in ("<", ">", "<=", ">=") else "double"), "bool" if op in ("<", ">", "<=", ">=") else "float", True)
     x, y = left.col, right.col
     err = either(left.err, right.err, x.isNull(), y.isNull())
     if kinds != {"int"}:
         x, y = x.cast("double"), y.cast("double")
-    if e.op in ("<", ">", "<=", ">="):
-        out = {"<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[e.op]
+    if op in ("<", ">", "<=", ">="):
+        out = {"<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
         if kinds != {"int"}:
             out = out & ~F.isnan(x) & ~F.isnan(y)
         return Value(out, "bool", err)
     if kinds == {"int"}:
-        if e.op == "/":
+        if op == "/":
             # truncates; the least long by -1 wraps to itself
             cut = F.when(y == -1, wrapped("-", F.lit(0).cast("long"), x)).when((y != 0) & (y != -1), F.call_function("div", x, F.when((y != 0) & (y != -1), y)))
             return Value(cut, "int", either(err, y == 0))
-        return Value(wrapped(e.op, x, y), "int", err)
-    out = ieee_divide(x, y) if e.op == "/" else x + y if e.op == "+" else x - y if e.op == "-" else x * y
+        return Value(wrapped(op, x, y), "int", err)
+    out = ieee_divide(x, y) if op == "/" else x + y if op == "+" else x - y if op == "-" else x * y
     return Value(out, "float", err)
 
 
 def equal(a: Value, b: Value):
     """Null equals null; numbers compare as numbers; other types never equal one another; NaN equals nothing."""
+    if a.type == "any":
+        return F.coalesce(each(a, "bool", lambda v: Value(equal(v, b), "bool")).col, equal(Value(F.lit(None), NULL), b))
+    if b.type == "any":
+        return equal(b, a)
     if NULL in (a.type, b.type):
         return (a if b.type == NULL else b).col.isNull() if a.type != b.type else F.lit(True)
     if a.type == b.type and a.type != "float":
@@ -112,9 +131,7 @@ def logic(op: str, a: Value, b: Value) -> Value:
     reached = truthy(a) if op == "AND" else ~truthy(a)
     late = b.err if b.err is False else reached if b.err is True else reached & b.err
     err = either(a.err, late)
-    if a.type != b.type:
-        a, b = Value(truthy(a), "bool"), Value(truthy(b), "bool")
-    return Value(F.when(reached, b.col).otherwise(a.col), a.type, err)
+    return choice([(reached, b), (F.lit(True), a)], err)
 
 
 def predicate(e, scope: Scope):

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 
 from genoloom.functions import sequence
-from genoloom.functions.values import Value, double, either, number, saturated, shown, text, whole
+from genoloom.functions.values import Value, choice, double, each, either, number, saturated, shown, text, whole
 
 
 @dataclass(frozen=True)
@@ -24,9 +24,16 @@ class Function:
 
 def _abs(a):
     x = a[0]
+    if x.type == "any":
+        return each(x, "float", lambda v: _abs([v]))
     if x.type not in ("int", "float"):
         return Value(F.lit(None).cast("double"), "float", True)
-    return Value(F.abs(x.col), x.type, either(x.err, x.col.isNull()))
+    err = either(x.err, x.col.isNull())
+    if x.type == "int":
+        # the least long has no positive counterpart
+        least = x.col == F.lit(-(2**63))
+        return Value(F.when(~least, F.abs(x.col)), "int", either(err, least))
+    return Value(F.abs(x.col), x.type, err)
 
 
 def _to_int(f):
@@ -38,8 +45,12 @@ def _to_int(f):
 
 
 def half_away(x):
-    """Nearest whole number, halves away from zero, as a double."""
-    return F.when(x < 0, -F.floor(-x + 0.5)).otherwise(F.floor(x + 0.5)).cast("double")
+    """Nearest whole number, halves away from zero, as a double; exact, as no sum is rounded."""
+    size = F.abs(x)
+    low = F.floor(size).cast("double")
+    near = F.when(size - low >= 0.5, low + 1).otherwise(low)
+    # from 2**52 on a double has no places
+    return F.when((size >= 2.0**52) | F.isnan(x), x).when(x < 0, -near).otherwise(near)
 
 
 def _round(a):
@@ -89,13 +100,8 @@ def _extreme(pick, flip):
 
 
 def _coalesce(a):
-    err = False
-    live = [x for x in a if x.type != "null"] or a
-    kinds = {x.type for x in live}
-    kind = live[0].type if len(kinds) == 1 else "float" if kinds <= {"int", "float"} else "str"
-    cols = [x.col.cast({"float": "double", "str": "string"}.get(kind, "void")) if len(kinds) > 1 else x.col for x in live]
-    err = either(*(x.err for x in a))
-    return Value(F.coalesce(*cols), kind, err)
+    """The first that isn't null, with its own type."""
+    return choice([(x.col.isNotNull(), x) for x in a if x.type != "null"], either(*(x.err for x in a)))
 
 
 def _texts(kind, f):

@@ -16,9 +16,41 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Value:
+    """A typed column. One of several types ("any") is a list of (condition, Value), the first true one counts."""
+
     col: Column
-    type: str  # int, float, str, bool or null
+    type: str  # int, float, str, bool, null or any
     err: object = False  # bool or Column
+    choices: tuple = ()
+
+
+def choice(pairs: list, err=False) -> Value:
+    """The first value whose condition holds; null if none does."""
+    pairs = [(c & inner, x) for c, v in pairs for inner, x in (v.choices or ((F.lit(True), v),))]
+    types = {v.type for _, v in pairs if v.type != "null"}
+    if len(types) <= 1:
+        col = F.lit(None)
+        for c, v in reversed(pairs):
+            col = F.when(c, v.col if v.type != "null" else F.lit(None)).otherwise(col)
+        return Value(col, types.pop() if types else "null", err)
+    pairs.append((F.lit(True), Value(F.lit(None), "null")))
+    return Value(_picked(pairs, lambda v: v.col.cast("variant") if v.type != "null" else F.lit(None).cast("variant")), "any", err, tuple(pairs))
+
+
+def _picked(pairs, of):
+    """``of`` the first value whose condition holds."""
+    out = None
+    for c, v in reversed(pairs):
+        out = F.when(c, of(v)) if out is None else F.when(c, of(v)).otherwise(out)
+    return out
+
+
+def each(v: Value, kind: str, f) -> Value:
+    """``f`` of a value of several types, to one type: of whichever it has."""
+    cast = {"int": "long", "float": "double", "str": "string", "bool": "boolean"}[kind]
+    found = [(c, f(x)) for c, x in v.choices]
+    err = any(x.err is not False for _, x in found) and _picked(found, lambda x: F.lit(x.err) if isinstance(x.err, bool) else x.err)
+    return Value(_picked(found, lambda x: x.col.cast(cast)), kind, either(v.err, err))
 
 
 def either(*errs):
@@ -37,12 +69,14 @@ def either(*errs):
 def when_ok(v: Value) -> Column:
     """The value, null where it failed."""
     if v.err is True:
-        return F.lit(None).cast({"int": "long", "float": "double", "str": "string", "bool": "boolean", "null": "void"}[v.type])
+        return F.lit(None).cast({"int": "long", "float": "double", "str": "string", "bool": "boolean", "null": "void", "any": "variant"}[v.type])
     return v.col if v.err is False else F.when(~v.err, v.col)
 
 
 def truthy(v: Value) -> Column:
     """Whether a value counts as true; null doesn't, NaN does."""
+    if v.type == "any":
+        return F.coalesce(_picked(v.choices, truthy), F.lit(False))
     if v.type == "bool":
         return F.coalesce(v.col, F.lit(False))
     if v.type in ("int", "float"):
@@ -56,6 +90,8 @@ def number(v: Value) -> Value:
     """A function's numeric argument: numbers as they are, strings parsed; null or other text fails."""
     if v.type in ("int", "float"):
         return Value(v.col, v.type, either(v.err, v.col.isNull()))
+    if v.type == "any":
+        return each(v, "float", number)
     if v.type == "str":
         parsed = F.trim(v.col).try_cast("double")
         return Value(parsed, "float", either(v.err, parsed.isNull()))
@@ -69,6 +105,8 @@ def double(v: Value) -> Value:
 
 def text(v: Value) -> Value:
     """A function's string argument; anything else fails."""
+    if v.type == "any":
+        return each(v, "str", text)
     if v.type == "str":
         return Value(v.col, "str", either(v.err, v.col.isNull()))
     return Value(F.lit(None).cast("string"), "str", True)
@@ -88,12 +126,24 @@ def saturated(x: Column) -> Column:
 
 def shown(v: Value) -> Column:
     """A value as text inside concat: null is empty, a whole float has no point, no exponents."""
+    if v.type == "any":
+        return F.coalesce(_picked(v.choices, shown), F.lit(""))
     if v.type == "float":
-        x = v.col
-        plain = F.regexp_replace(x.try_cast("decimal(38,18)").cast("string"), r"0+$", "")
-        out = (
-            F.when(F.isnan(x), "NaN").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
-            .when(x == F.floor(x), x.try_cast("decimal(38,0)").cast("string"))
-            .when((F.abs(x) >= 1e-3) & (F.abs(x) < 1e7), x.cast("string")).otherwise(plain))
-        return F.coalesce(out, F.lit(""))
+        return F.coalesce(_decimal(v.col), F.lit(""))
     return F.coalesce(v.col.cast("string"), F.lit(""))
+
+
+def _decimal(x: Column) -> Column:
+    """The shortest digits that tell a double, with all its places written out."""
+    raw = x.cast("string")
+    plain = F.regexp_replace(raw, r"\.0$", "")
+    sign = F.when(F.startswith(raw, F.lit("-")), "-").otherwise("")
+    part = lambda n: F.regexp_extract(raw, r"^-?([0-9])\.([0-9]+?)0*E(-?[0-9]+)$", n)
+    first, rest, power = part(1), F.regexp_replace(part(2), "^0$", ""), part(3).try_cast("int")
+    digits = F.concat(first, rest)
+    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+    big = F.when(power >= F.char_length(rest), F.concat(digits, zeros(power - F.char_length(rest)))).otherwise(
+        F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2)))
+    small = F.concat(F.lit("0."), zeros(-power - 1), digits)
+    written = F.concat(sign, F.when(power >= 0, big).otherwise(small))
+    return F.when(F.isnan(x), "NaN").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(power.isNotNull(), written).otherwise(plain)

@@ -43,11 +43,8 @@ def distance(a: str, b: str) -> int:
 
 
 def suggest(word: str, known) -> str | None:
-    """The known name nearest to ``word``: few edits, or a part between underscores in common."""
-    word = word.lower()
-    near = min(known, key=lambda k: (distance(word, k), k), default=None)
-    if near is not None and distance(word, near) <= max(2, len(word) // 3):
-        return f"did you mean `{near}`?"
-    parts = {p for p in word.split("_") if len(p) > 2}
-    shared = sorted(k for k in known if parts & set(k.split("_")))
-    return f"did you mean `{shared[0]}`?" if shared else None
+    """The known name that shares most parts between underscores with ``word``, then the one with fewest edits, three at most if no part is shared."""
+    parts = set(filter(None, word.split("_")))
+    ranked = [(-len(parts.intersection(k.split("_"))), distance(word, k), k) for k in known]
+    shared, edits, name = min(ranked, key=lambda r: r[:2], default=(0, 4, None))
+    return f"did you mean `{name}`?" if shared or edits <= 3 else None

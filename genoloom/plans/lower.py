@@ -149,8 +149,10 @@ def source_records(spark: SparkSession, q: ast.Query, variables: dict) -> DataFr
         return text_source.vcf(spark, path, q.split)
     if fmt in ("bed", "fasta"):
         return empty(spark, record_kind(ast.Query(q.source, call=q.call)))
-    reads = bam_source.bam(spark, path)
     region = region_of(q.where)
+    # reads that start before a region may reach into it, so their call needs the whole contig
+    bounds = (None, None) if q.call == "variants" else (region.start, region.end)
+    reads = bam_source.bam(spark, path, region=region.chrom and (region.chrom, *bounds))
     if q.call == "reads":
         return read_records(within(reads, region).where("chrom is not null"))
     if q.call in ("coverage", "cnv"):

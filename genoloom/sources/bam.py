@@ -7,6 +7,10 @@ records to the range's end and says where the next range must begin. The ends
 are then held against the guesses, one row per range, so a wrong guess is found
 and walked again from the right place; the counts give every record its number
 in the file. Other files are read whole, by one task each.
+
+A query of one contig or region reads only the blocks that a file's index (its
+path with ``.bai``) names, where there is one; ``_seq`` is then a record's place
+instead of its number, which orders alike.
 """
 
 from __future__ import annotations
@@ -280,6 +284,64 @@ def ranges(spark: SparkSession, files_: list[tuple[str, int]], split_bytes: int)
     return found
 
 
+def index_spans(index: bytes, ref: int, start: int, end: int) -> list[tuple[tuple[int, int], int]]:
+    """((block, byte), last block) of the stretches that may hold records overlapping 0-based [start, end) of a contig.
+
+    Stretches that share a block are one, so no record is in two.
+    """
+    if index[:4] != b"BAI\1":
+        raise ValueError("not a BAM index")
+    at, n_ref = 8, struct.unpack_from("<i", index, 4)[0]
+    if not 0 <= ref < n_ref or end <= start:
+        return []
+    end = min(end, 1 << 29)
+    # bins of 512 Mb, 64 Mb, 8 Mb, 1 Mb, 128 kb and 16 kb, numbered level by level
+    wanted = set()
+    for level in range(6):
+        first, width = ((1 << 3 * level) - 1) // 7, 29 - 3 * level
+        wanted.update(range(first + (start >> width), first + ((end - 1) >> width) + 1))
+    chunks: list[tuple[int, int]] = []
+    least = 0
+    for i in range(ref + 1):
+        n_bin = struct.unpack_from("<i", index, at)[0]
+        at += 4
+        for _ in range(n_bin):
+            number, n_chunk = struct.unpack_from("<Ii", index, at)
+            at += 8
+            if i == ref and number in wanted:
+                flat = struct.unpack_from(f"<{2 * n_chunk}Q", index, at)
+                chunks += zip(flat[::2], flat[1::2])
+            at += 16 * n_chunk
+        n_intv = struct.unpack_from("<i", index, at)[0]
+        if i == ref and n_intv:
+            # no record that reaches the first 16 kb wanted begins before this
+            least = struct.unpack_from("<Q", index, at + 4 + 8 * min(start >> 14, n_intv - 1))[0] if start >> 14 < n_intv else 0
+        at += 4 + 8 * n_intv
+    out: list[list] = []
+    for a, b in sorted((max(a, least), b) for a, b in chunks if b > least):
+        if out and a >> 16 <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b >> 16)
+        else:
+            out.append([a, b >> 16])
+    return [((a >> 16, a & 0xFFFF), last) for a, last in out]
+
+
+def indexed(spark: SparkSession, path: str, region: tuple, split_bytes: int) -> tuple[list[str], list[tuple]] | None:
+    """Files under ``path`` with an index, and the (path, length, block, byte, stop, number) of what the region needs of them."""
+    chrom, start, end = region
+    done, found = [], []
+    for r in files(spark, path).select("path", "length").collect():
+        f, index = opened(r.path), opened(r.path + ".bai")
+        if f is None or index is None:
+            continue
+        with f, index:
+            names = [n for n, _ in head(r.path, r.length)[0]]
+            spans = index_spans(index.read(), names.index(chrom), max(0, (start or 1) - 1), end if end is not None else 1 << 29) if chrom in names else []
+        done.append(r.path)
+        found += [(r.path, r.length, *place, last + 1, place[0] << 16 | place[1]) for place, last in spans]
+    return done, found
+
+
 SCHEMA = pa.schema([("chrom", pa.string()), ("pos", pa.int64()), ("mapq", pa.int64()), ("flag", pa.int64()), ("seq", pa.string()), ("qual", pa.binary()), ("cigar", pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))), ("_seq", pa.int64())])
 
 
@@ -327,7 +389,7 @@ def _contig_rows(found):
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path)
+    return spark.read.format("binaryFile").load(path).where(~F.endswith("path", F.lit(".bai")))
 
 
 def large(spark: SparkSession, path: str, split_bytes: int) -> list[tuple[str, int]]:
@@ -349,18 +411,23 @@ def _whole(spark: SparkSession, path: str, apart: list, decode, schema: str) ->
     return found.select("content").mapInArrow(decode, schema)
 
 
-def bam(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Alignments with 1-based positions; ``_seq`` is a record's number in its file.
+def bam(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, region: tuple | None = None) -> DataFrame:
+    """Alignments with 1-based positions; ``_seq`` orders a file's records.
 
-    Files above ``split_bytes`` are walked once, when this is called, and then
-    decoded by a task for each range.
+    ``region`` (contig, first and last position or None): files with an index
+    give only the blocks it may be in, a task for each stretch; the caller
+    still filters. Other files above ``split_bytes`` are walked once, when this
+    is called, and then decoded by a task for each range.
     """
-    apart = large(spark, path, split_bytes)
-    whole = _whole(spark, path, apart, _decode, RECORD)
-    if not apart:
-        return whole
-    parts = _spread(spark, ranges(spark, apart, split_bytes), "path string, length long, block long, byte long, stop long, number long")
-    return whole.unionByName(parts.mapInArrow(_decode_range, RECORD))
+    done, parts = indexed(spark, path, region, split_bytes) if region else ([], [])
+    apart = [x for x in large(spark, path, split_bytes) if x[0] not in set(done)]
+    out = _whole(spark, path, [*apart, *((p, 0) for p in done)], _decode, RECORD)
+    if apart:
+        parts = parts + ranges(spark, apart, split_bytes)
+    if not parts:
+        return out
+    spread = _spread(spark, parts, "path string, length long, block long, byte long, stop long, number long").mapInArrow(_decode_range, RECORD)
+    return out.unionByName(spread)
 
 
 def contigs(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -373,7 +440,7 @@ def contigs(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> D
     return whole.unionByName(_spread(spark, apart, "path string, length long").mapInArrow(_contigs_of_head, schema))
 
 
-def write_bam(path: str, contigs: list[tuple[str, int]], rows) -> None:
+def bam_bytes(contigs: list[tuple[str, int]], rows) -> bytes:
     """A BAM of (chrom, 1-based pos, mapq, flag, seq, qualities, cigar text), for tests and examples."""
     import re
 
@@ -387,11 +454,16 @@ def write_bam(path: str, contigs: list[tuple[str, int]], rows) -> None:
         packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(seq), 2))
         body = struct.pack("<iiBBHHHiiii", ids.get(chrom, -1), pos - 1, 2, mapq, 0, len(ops), flag, len(seq), -1, -1, 0) + b"r\0" + struct.pack(f"<{len(ops)}I", *ops) + packed + bytes(qual)
         out.append(struct.pack("<i", len(body)) + body)
-    raw = b"".join(out)
+    raw, packed_blocks = b"".join(out), []
+    for i in range(0, max(1, len(raw)), 60_000):
+        part = raw[i : i + 60_000]
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = c.compress(part) + c.flush()
+        packed_blocks.append(struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part)))
+    return b"".join([*packed_blocks, bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")])
+
+
+def write_bam(path: str, contigs: list[tuple[str, int]], rows) -> None:
+    """The same as a file of the driver."""
     with open(path, "wb") as f:
-        for i in range(0, max(1, len(raw)), 60_000):
-            part = raw[i : i + 60_000]
-            c = zlib.compressobj(6, zlib.DEFLATED, -15)
-            body = c.compress(part) + c.flush()
-            f.write(struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part)))
-        f.write(bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000"))
+        f.write(bam_bytes(contigs, rows))

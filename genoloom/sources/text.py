@@ -1,13 +1,69 @@
-"""Line-based genomic formats, read with Spark's text source (gzip by suffix)."""
+"""Line-based genomic formats, read with Spark's text source.
+
+Spark unpacks by suffix. A file that is gzip or block gzip by its first bytes
+but not by its suffix is unpacked here, a task a file.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import zlib
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+GZIP = b"\x1f\x8b"
+#: Bytes unpacked together.
+CHUNK = 1 << 20
+
+
+def packed(spark: SparkSession, path: str) -> list[str]:
+    """Files under ``path`` that are gzip by their first bytes but not by their suffix."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    found = []
+    for r in spark.read.format("binaryFile").load(path).select("path").collect():
+        if not r.path.endswith(".gz"):
+            file = jvm.org.apache.hadoop.fs.Path(r.path)
+            stream = file.getFileSystem(conf).open(file)
+            try:
+                if bytes(x & 0xFF for x in (stream.read(), stream.read()) if x >= 0) == GZIP:
+                    found.append(r.path)
+            finally:
+                stream.close()
+    return found
+
+
+def _unpack(batches):
+    """The lines of gzip files of any number of members, a chunk at a time."""
+    for batch in batches:
+        for content in batch.column(0):
+            raw, rest = memoryview(content.as_py()), b""
+            while len(raw):
+                member = zlib.decompressobj(31)
+                while len(raw) and not member.eof:
+                    part = raw[:CHUNK]
+                    text = rest + member.decompress(part)
+                    raw = raw[len(part) - len(member.unused_data) :]
+                    *whole, rest = text.split(b"\n")
+                    if whole:
+                        yield pa.RecordBatch.from_arrays([pa.array([x.removesuffix(b"\r").decode("utf-8", "replace") for x in whole], pa.string())], names=["value"])
+            if rest:
+                yield pa.RecordBatch.from_arrays([pa.array([rest.decode("utf-8", "replace")], pa.string())], names=["value"])
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).withColumn("_seq", F.monotonically_increasing_id())
+    """(value, _seq): lines in order of ``_seq`` within a file."""
+    odd = packed(spark, path)
+    if not odd:
+        out = spark.read.text(path)
+    else:
+        files = spark.read.format("binaryFile").load(path)
+        out = files.where(F.col("path").isin(odd)).select("content").mapInArrow(_unpack, "value string")
+        others = [r.path for r in files.where(~F.col("path").isin(odd)).select("path").collect()]
+        if others:
+            out = spark.read.text(others).select("value").unionByName(out)
+    return out.select("value", F.monotonically_increasing_id().alias("_seq"))
 
 
 def info(column: Column, key: str) -> Column:
@@ -58,21 +114,28 @@ def bed(spark: SparkSession, path: str) -> DataFrame:
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(contig, offset, seq): each line of sequence at its 0-based place in the contig.
 
-    A ``contig:start-end`` header places its lines from start - 1. Offsets are
-    running sums by contig, so a contig is never one string.
+    A ``contig:start-end`` header places its lines from start - 1. Lines belong
+    to the last header before them and start after the lines between; both are
+    sums in two steps, inside a partition and over one row per partition (and
+    header), so a contig is never in one task, nor one string.
     """
-    from pyspark.sql import Window
-
-    rows = lines(spark, path).withColumn("head", F.when(F.startswith("value", F.lit(">")), F.regexp_extract("value", r"^>\s*(\S*)", 1)))
-    headers = rows.where("head is not null").select(F.col("_seq").alias("at"), "head")
+    rows = lines(spark, path).withColumn("part", F.shiftright("_seq", 33))
+    rows = rows.withColumn("own", F.when(F.startswith("value", F.lit(">")), F.struct(F.col("_seq").alias("at"), F.regexp_extract("value", r"^>\s*(\S*)", 1).alias("head"))))
+    inside = Window.partitionBy("part").orderBy("_seq")
+    rows = rows.withColumn("last", F.last("own", ignorenulls=True).over(inside))
+    ends = rows.groupBy("part").agg(F.max("own").alias("own"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("part", F.last("own", ignorenulls=True).over(before).alias("carried"))
+    body = rows.where("own is null").withColumn("seq", F.upper(F.trim("value"))).where("seq <> ''").join(carried, "part")
+    body = body.withColumn("head", F.coalesce("last", "carried")).where("head is not null").select("part", "_seq", "seq", F.col("head.at").alias("at"), F.col("head.head").alias("head"))
+    within = Window.partitionBy("part", "at").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("at").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = body.groupBy("part", "at").agg(F.sum(F.char_length("seq")).alias("n"))
+    sums = sums.select("part", "at", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    placed = body.withColumn("run", F.coalesce(F.sum(F.char_length("seq")).over(within), F.lit(0))).join(sums, ["part", "at"])
     name = F.regexp_extract("head", r"^(.*?)(?::([0-9]+)-[0-9]+)?$", 1)
     start = F.coalesce(F.regexp_extract("head", r":([0-9]+)-[0-9]+$", 1).try_cast("long"), F.lit(1)) - 1
-    spans = headers.withColumn("until", F.lead("at").over(Window.orderBy("at"))).select("at", "until", name.alias("contig"), start.alias("start"))
-    # as many headers as contigs: a bounded table in practice, joined by range
-    body = rows.where("head is null").select(F.upper(F.trim("value")).alias("seq"), "_seq").where("seq <> ''")
-    placed = body.join(spans, (F.col("_seq") > F.col("at")) & (F.col("until").isNull() | (F.col("_seq") < F.col("until"))))
-    before = Window.partitionBy("at").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select("contig", (F.col("start") + F.coalesce(F.sum(F.char_length("seq")).over(before), F.lit(0))).alias("offset"), "seq")
+    return placed.select(name.alias("contig"), (start + F.col("base") + F.col("run")).alias("offset"), "seq")
 
 
 def gff(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -11,7 +11,11 @@ from genoloom.lang.parser import parse
     ('gc("GGCC")', 1.0), ('gc("NN")', 0.0), ('revcomp("AACG")', "CGTT"), ('translate("ATGAAATAG")', "MK*"), ('translate("AUGNNN")', "MX"), ('codon_at("ATGAAA", 3)', "AAA"), ('codon_at("ATG", 2)', None),
     ("2 + 3 * 4", 14), ("7 / 2", 3), ("-7 / 2", -3), ("1 / 0", None), ("1.0 / 0", float("inf")), ("9223372036854775807 + 1", -(2**63)), ("9223372036854775807 * 3", 9223372036854775805),
     ("false AND depth", False), ("true OR 1 / 0 = 1", True), ("1 / 0 = 1 OR true", None), ("NOT true", False), ("NOT nothing", True), ("NOT 1", None), ('"7" = 7', False), ('"a" < "b"', None), ("nothing = nothing", True),
-    ("1 = 1.0", True), ('len("héé")', 3), ("coalesce(nothing, 3)", 3), ('x["k"]', None), ("a.b", None), ('floor("2.7")', 2), ('abs("2")', None), ('contains("abc", "b")', True), ("$n + 1", 5), ("$unbound", None)])
+    ("1 = 1.0", True), ('len("héé")', 3), ("coalesce(nothing, 3)", 3), ('x["k"]', None), ("a.b", None), ('floor("2.7")', 2), ('abs("2")', None), ('contains("abc", "b")', True), ("$n + 1", 5), ("$unbound", None),
+    ("abs(-9223372036854775807 - 1)", None), ("round(0.49999999999999994)", 0), ("round(4503599627370497.0)", 4503599627370497), ("round(-0.5)", -1), ("round(2.5)", 3), ("round(1000000000000000000000.0)", 2**63 - 1),
+    ('coalesce(1, "a")', 1), ('coalesce(nothing, "a", 1)', "a"), ("coalesce(1, 2.5)", 1), ("coalesce(nothing, nothing)", None), ('7 AND "x"', "x"), ('0 AND "x"', 0), ('"" OR 2.5', 2.5), ('"y" OR 2', "y"), ('nothing OR "z"', "z"), ("nothing AND 1", None),
+    ('(7 AND "x") = "x"', True), ('(0 AND "x") = 0', True), ('len(7 AND "abc")', 3), ('len(0 AND "abc")', None), ('(1 AND 2.5) + 1', 3.5), ('("a" AND 2) + 1', 3.0), ('NOT (7 AND true)', False), ('(7 AND "x") < 3', None), ('concat(7 AND "x", 0 AND "x")', "x0"),
+    ("concat(100000000000000000000.0)", "1" + "0" * 20), ("concat(1.5 * pow(10, 300))", "15" + "0" * 299), ("concat(0.00001)", "0.00001"), ("concat(0.00000123)", "0.00000123"), ("concat(-12345678.25)", "-12345678.25"), ("concat(0.0001)", "0.0001"), ("concat(-0.0)", "-0"), ("concat(1.0 / 0, log(-1))", "infNaN"), ("concat(true, nothing, 3)", "true3")])
 def test_expression(spark, text, value):
     got = engine.eval_expr(spark, text, {"n": 4})
     assert got == value and type(got) is type(value)
@@ -29,6 +33,10 @@ def test_errors(text, code):
 
 
 def test_hints():
+    # shared parts first, then fewest edits, three at most
+    assert suggest("min_freq", ["min_af", "min_depth", "min_allele_freq"]) == "did you mean `min_allele_freq`?"
+    assert suggest("refernce", ["reference", "min_depth"]) == "did you mean `reference`?"
+    assert suggest("zzzzzz", ["reference", "min_depth"]) is None
     assert distance("depth", "dept") == 1
     assert suggest("min_dept", ["min_depth", "reference"]) == "did you mean `min_depth`?"
     with pytest.raises(QueryError) as e:
