@@ -10,7 +10,7 @@ that share telling words lie near each other. Tasks get ranges of about equal
 numbers of ids, cut anywhere between two rows, so long documents, and a sketch
 that a third of all documents share, spread over tasks like anything else.
 
-Consecutive documents of a task up to a bound of ids are a shard with a BM25
+Consecutive documents of a task up to a bound of ids and of postings are a shard with a BM25
 inverted index of its own. A seed document opens a window; all its terms query
 the index, and the best unused neighbours that fit go in; when none fits, the
 best one is cut and what is left of it is the next seed. Windows run on from
@@ -33,8 +33,8 @@ from genoloom.llm.common import Workspace, need
 from genoloom.llm.tokens import default_vocabulary, encoder
 
 WINDOW = 2048
-#: Ids of a shard, 16 MB; a shard may hold one longer document.
-SHARD_IDS = 4_000_000
+#: Ids of a shard, 16 MB, and postings (distinct ids of each document), which take some 50 bytes each; a shard may hold one longer document.
+SHARD_IDS, SHARD_POSTINGS = 4_000_000, 1_000_000
 #: Ids a task packs; beyond MOST_TASKS tasks they get more each.
 TASK_IDS = 4_000_000
 MOST_TASKS = 50_000
@@ -42,6 +42,8 @@ MOST_TASKS = 50_000
 MARKS = 4
 #: A null doc_id's place in order.
 FIRST_ID = -(1 << 63)
+#: Neighbours put in order at first, and looked at together.
+NEAREST, LOOK = 1024, 256
 K1, B = 1.2, 0.75
 
 TOKENISED = "doc_id long, n_ids long, ids binary"
@@ -173,16 +175,23 @@ def _deal(batches, ends: list, stats: Stats):
         yield pa.RecordBatch.from_arrays([task, pa.array(sketch, pa.int64()), *batch.columns], names=["task", "sketch", *batch.schema.names])
 
 
+def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A document's distinct ids without its end, and how often it holds each."""
+    terms, counts = np.unique(ids[:-1], return_counts=True)
+    return terms, counts.astype(np.int32)
+
+
 class Shard:
     """A BM25 inverted index over some documents' token ids, weighed by the statistics of all documents."""
 
-    def __init__(self, docs: list[np.ndarray], stats: Stats) -> None:
+    def __init__(self, docs: list[np.ndarray], stats: Stats, terms: list | None = None) -> None:
+        """``terms``: (distinct ids but the end, their counts) of each document, where they are known already."""
         self.n = n = len(docs)
-        self.terms, self.counts = zip(*[np.unique(d[:-1], return_counts=True) for d in docs])
+        self.terms, self.counts = zip(*(terms or map(terms_of, docs)))
         owner = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in self.terms])
-        term, tf = np.concatenate(self.terms).astype(np.int64), np.concatenate(self.counts).astype(float)
-        length = np.array([len(d) for d in docs], float)[owner]
-        weight = (stats.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / stats.mean))).astype(np.float32)
+        term, tf = np.concatenate(self.terms), np.concatenate(self.counts).astype(np.float32)
+        norm = (K1 * (1 - B + B * np.array([len(d) for d in docs]) / stats.mean)).astype(np.float32)
+        weight = stats.idf.astype(np.float32)[term] * tf * np.float32(K1 + 1) / (tf + norm[owner])
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = owner[order], weight[order]
         self.vocabulary, self.first, self.df = np.unique(term[order], return_index=True, return_counts=True)
@@ -207,12 +216,19 @@ class Shard:
         rest = np.bincount(self.doc[places], self.weight[places] * np.repeat(times, many), minlength=self.n)
         return query @ self.matrix + rest
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """All documents by falling score; ties in shard order."""
-        return np.argsort(-self.scores(seed), kind="stable")
+    def neighbours(self, seed: int, first: int = NEAREST):
+        """All documents by falling score, ties in shard order: the ``first`` ones (and their ties), then the rest, as they are asked for."""
+        scores = self.scores(seed)
+        if self.n > 2 * first:
+            best = np.flatnonzero(scores >= np.partition(scores, self.n - first)[self.n - first])
+            yield best[np.argsort(-scores[best], kind="stable")]
+            scores[best] = np.inf
+            yield np.argsort(-scores, kind="stable")[len(best) :]
+        else:
+            yield np.argsort(-scores, kind="stable")
 
 
-def arrange(docs: list[np.ndarray], gap: int, window: int, stats: Stats):
+def arrange(docs: list[np.ndarray], gap: int, window: int, stats: Stats, terms: list | None = None):
     """Pieces (document, start, length) of one shard in packing order.
 
     ``gap``: room in the window left open by the shard before. Yields every
@@ -220,7 +236,7 @@ def arrange(docs: list[np.ndarray], gap: int, window: int, stats: Stats):
     """
     left = np.array([len(d) for d in docs])
     done = [0] * len(docs)
-    index = Shard(docs, stats) if len(docs) > 1 else None
+    index = Shard(docs, stats, terms) if len(docs) > 1 else None
     first = 0  # no document before it is unused
 
     def take(d: int, length: int):
@@ -241,28 +257,35 @@ def arrange(docs: list[np.ndarray], gap: int, window: int, stats: Stats):
             yield take(seed, gap)
             gap = window
             continue
+        piece_of = seed
         gap -= int(left[seed])
         yield take(seed, int(left[seed]))
-        ranked = index.neighbours(seed) if index else np.zeros(0, int)
-        ranked = ranked[left[ranked] > 0]
-        at = 0
-        while gap:
-            # room only shrinks, so what didn't fit won't
-            fits = np.flatnonzero(left[ranked[at:]] <= gap)
-            if not len(fits):
-                break
-            at += int(fits[0])
-            gap -= int(left[ranked[at]])
-            yield take(int(ranked[at]), int(left[ranked[at]]))
-            at += 1
         seed = None
+        for ranked in index.neighbours(piece_of) if index else ():
+            for at in range(0, len(ranked), LOOK):
+                look = ranked[at : at + LOOK]
+                look = look[left[look] > 0]
+                if seed is None and len(look):
+                    # the best neighbour; cut if none is left that fits
+                    seed = int(look[0])
+                # room only shrinks, so what doesn't fit now won't
+                for d in look[left[look] <= gap].tolist():
+                    if left[d] <= gap:
+                        gap -= int(left[d])
+                        yield take(d, int(left[d]))
+                        if not gap:
+                            break
+                if seed is not None and not left[seed]:
+                    rest = look[left[look] > 0]
+                    seed = int(rest[0]) if len(rest) else None
+                if not gap:
+                    break
+            if not gap or left[left > 0].min(initial=window) > gap:
+                break
         if not gap:
-            gap = window
-            continue
-        rest = ranked[left[ranked] > 0]
-        if len(rest):
+            gap, seed = window, None
+        elif seed is not None:
             # nothing fits: the best neighbour is cut, and leads the next window
-            seed = int(rest[0])
             yield take(seed, gap)
             gap = window
         else:
@@ -299,8 +322,8 @@ def _pack(batches, window: int, with_ids: bool, stats: Stats, shard_ids: int):
 
     def shard(rows):
         nonlocal used, open_window
-        docs = [ids for _, ids in rows]
-        for d, start, length in arrange(docs, window - used, window, stats):
+        docs = [ids for _, ids, _ in rows]
+        for d, start, length in arrange(docs, window - used, window, stats, [terms for _, _, terms in rows]):
             open_window.append((rows[d][0], docs[d], start, length, len(docs[d])))
             used += length
             if used == window:
@@ -308,14 +331,16 @@ def _pack(batches, window: int, with_ids: bool, stats: Stats, shard_ids: int):
                 open_window, used = [], 0
 
     held: list = []
-    size = 0
+    size = postings = 0
     for batch in batches:
         for name, stored in zip(batch.column(0), batch.column(1)):
-            held.append((name.as_py(), ids_of(stored.as_py())))
-            size += len(held[-1][1])
-            if size >= shard_ids:
+            ids = ids_of(stored.as_py())
+            held.append((name.as_py(), ids, terms_of(ids)))
+            size += len(ids)
+            postings += len(held[-1][2][0])
+            if size >= shard_ids or postings >= SHARD_POSTINGS:
                 shard(held)
-                held, size = [], 0
+                held, size, postings = [], 0, 0
                 if out:
                     yield flush()
     if held:

@@ -149,8 +149,9 @@ def test_bm25_is_the_brute_force_one():
     for seed in range(len(docs)):
         want = brute_bm25(docs, seed)
         assert shard.scores(seed).tolist() == pytest.approx(want, rel=1e-4)
-        found = shard.neighbours(seed).tolist()
-        assert all(want[a] >= want[b] - 1e-3 for a, b in zip(found, found[1:]))
+        for first in (5, 1000):
+            found = np.concatenate(list(shard.neighbours(seed, first))).tolist()
+            assert sorted(found) == list(range(len(docs))) and all(want[a] >= want[b] - 1e-3 for a, b in zip(found, found[1:]))
 
 
 def test_packing_fills_with_best_neighbours():
