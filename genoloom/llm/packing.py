@@ -43,10 +43,11 @@ MARKS = 4
 #: A null doc_id's place in order.
 FIRST_ID = -(1 << 63)
 #: Neighbours put in order at first, and looked at together.
-NEAREST, LOOK = 1024, 256
+NEAREST, LOOK = 256, 256
 K1, B = 1.2, 0.75
 
-TOKENISED = "doc_id long, n_ids long, ids binary"
+#: A document; or with n_ids 0, in ``df``, in how many of a task's documents each id occurs.
+TOKENISED = "doc_id long, n_ids long, wide boolean, ids binary, df binary"
 ORDER = ("sketch", "place", "row")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECES_IDS = PIECES + ", ids binary"
@@ -66,67 +67,91 @@ class Stats:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         chance = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53
-        out = np.zeros(len(self.df), np.int64)
+        out = np.zeros(len(self.df), np.int32)
         out[np.argsort(-np.log(np.maximum(chance, 1e-300)) / np.maximum(self.idf, 1e-9), kind="stable")] = np.arange(len(self.df))
         return out
 
-    def sketch(self, ids: np.ndarray) -> int:
-        one, two = self.ranks
-        return int(one[ids].min()) << 31 | int(two[ids].min())
-
 
 def _tokenise(batches, vocabulary: str, end_id: int):
     bpe = encoder(vocabulary)
-    end = np.array([end_id], "<u4").tobytes()
-    schema = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.binary())])
+    narrow = bpe.dtype == "<u2" and end_id < 1 << 16
+    kind = "<u2" if narrow else "<u4"
+    end = np.array([end_id], kind).tobytes()
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+    names = [x.split()[0] for x in TOKENISED.split(", ")]
+    df = np.zeros(1 << 16, np.int64)
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    out: list = []
+    size = 0
     for batch in batches:
-        out: list = []
-        size = 0
         for doc_id, text in zip(batch.column(0), batch.column(1)):
-            raw = bpe.encode_one(text.as_py() or "") + end
-            ids = np.frombuffer(raw, "<u4")
-            # two bytes an id while they fit
-            short = ids.max() < 1 << 16
-            out.append((doc_id.as_py(), len(ids), b"\2" + ids.astype("<u2").tobytes() if short else b"\4" + raw))
+            raw = bpe.encode_one(text.as_py() or "")
+            if kind != bpe.dtype:
+                raw = np.frombuffer(raw, bpe.dtype).astype(kind).tobytes()
+            raw += end
+            ids = np.frombuffer(raw, kind)
+            terms = np.unique(ids)
+            if terms[-1] >= len(df):
+                df = np.concatenate([df, np.zeros(2 * int(terms[-1]), np.int64)])
+            df[terms] += 1
+            out.append((doc_id.as_py(), len(ids), not narrow, raw, None))
             size += len(raw)
             if size > 8_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                yield batch_of(out)
                 out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+    if out:
+        yield batch_of(out)
+    if df.any():
+        yield batch_of([(None, 0, False, b"", df.astype("<i8").tobytes())])
 
 
-def ids_of(stored: bytes) -> np.ndarray:
-    return np.frombuffer(stored, "<u2" if stored[0] == 2 else "<u4", offset=1).astype("<u4")
+def flat_ids(wide, ids) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of an Arrow column of documents, and where each document begins."""
+    wide = wide.to_numpy(zero_copy_only=False).astype(bool)
+    if len(wide) and not wide.any():
+        # one buffer, two bytes an id
+        offsets = np.frombuffer(ids.buffers()[1], "<i4", len(ids) + 1, 4 * ids.offset) // 2
+        return np.frombuffer(ids.buffers()[2], "<u2", int(offsets[-1]))[offsets[0] :], offsets[:-1] - offsets[0]
+    parts = [np.frombuffer(x.as_py(), "<u4" if w else "<u2").astype("<u4") for x, w in zip(ids, wide)]
+    return np.concatenate(parts) if parts else np.zeros(0, "<u4"), np.cumsum([0] + [len(p) for p in parts])[: len(parts)]
 
 
-def _frequencies(batches):
-    """In how many of these documents each id occurs."""
-    total = np.zeros(1 << 16, np.int64)
-    for batch in batches:
-        for stored in batch.column(0):
-            ids = np.unique(ids_of(stored.as_py()))
-            if ids[-1] >= len(total):
-                total = np.concatenate([total, np.zeros(2 * int(ids[-1]), np.int64)])
-            total[ids] += 1
-    terms = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(total[terms])], names=["term", "n"])
+def _added(table: pa.Table) -> pa.Table:
+    """Counts of a group of tasks as one."""
+    total = np.zeros(max(len(x.as_py()) for x in table.column("df")) // 8, np.int64)
+    for x in table.column("df"):
+        one = np.frombuffer(x.as_py(), "<i8")
+        total[: len(one)] += one
+    return pa.table({"df": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
 
 def stats_of(tokenised: DataFrame) -> Stats:
-    """Counted over all documents; the driver gets a row for each id of the vocabulary at most."""
-    rows = tokenised.select("ids").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    terms, n = rows["term"].to_numpy(), rows["n"].to_numpy()
-    df = np.zeros(int(terms.max(initial=0)) + 1, np.int64)
-    df[terms] = n
-    told = tokenised.agg(F.count(F.lit(1)).alias("n"), F.sum("n_ids").alias("ids")).first()
+    """Counted over all documents; the driver gets a count for each id of the vocabulary, of 16 groups of tasks."""
+    group = F.shiftrightunsigned("row", 33) % 16
+    rows = tokenised.where("n_ids = 0").select(group.alias("grp"), "df").groupBy("grp").applyInArrow(_added, "df binary").collect()
+    df = np.zeros(max([len(r.df) // 8 for r in rows], default=1), np.int64)
+    for r in rows:
+        one = np.frombuffer(bytes(r.df), "<i8")
+        df[: len(one)] += one
+    told = tokenised.where("n_ids > 0").agg(F.count(F.lit(1)).alias("n"), F.sum("n_ids").alias("ids")).first()
     return Stats(df, told.n, told.ids or 0)
 
 
+def _sketches(stats: Stats, wide, ids) -> pa.Array:
+    """The documents' sketches."""
+    flat, starts = flat_ids(wide, ids)
+    if not len(starts):
+        return pa.array([], pa.int64())
+    one, two = (np.minimum.reduceat(rank[flat], starts) for rank in stats.ranks)
+    return pa.array(one.astype(np.int64) << 31 | two)
+
+
 def _sketch(batches, stats: Stats):
     for batch in batches:
-        found = [stats.sketch(ids_of(x.as_py())) for x in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *batch.columns[1:]], names=["sketch", *batch.schema.names[1:]])
+        yield pa.RecordBatch.from_arrays([_sketches(stats, batch.column(0), batch.column(1)), *batch.columns[2:]], names=["sketch", *batch.schema.names[2:]])
 
 
 def _marks(batches, step: int):
@@ -169,10 +194,10 @@ def bounds(rows: DataFrame, task_ids: int = TASK_IDS, most_tasks: int = MOST_TAS
 def _deal(batches, ends: list, stats: Stats):
     """The task of each row and its sketch, before its order, doc_id and ids."""
     for batch in batches:
-        sketch = [stats.sketch(ids_of(x.as_py())) for x in batch.column("ids")]
-        keys = zip(sketch, batch.column("place").to_pylist(), batch.column("row").to_pylist())
+        sketch = _sketches(stats, batch.column("wide"), batch.column("ids"))
+        keys = zip(sketch.to_pylist(), batch.column("place").to_pylist(), batch.column("row").to_pylist())
         task = pa.array([bisect_left(ends, k) for k in keys], pa.int32())
-        yield pa.RecordBatch.from_arrays([task, pa.array(sketch, pa.int64()), *batch.columns], names=["task", "sketch", *batch.schema.names])
+        yield pa.RecordBatch.from_arrays([task, sketch, *batch.columns], names=["task", "sketch", *batch.schema.names])
 
 
 def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -304,7 +329,7 @@ def _pack(batches, window: int, with_ids: bool, stats: Stats, shard_ids: int):
 
     def row(piece, number, offset):
         name, ids, start, length, total = piece
-        raw = ids[start : start + length].tobytes()
+        raw = ids[start : start + length].astype("<u4").tobytes()
         return (name, start, length, zlib.crc32(raw), total, base + number, offset) + ((raw,) if with_ids else ())
 
     def lay(pieces):
@@ -333,8 +358,8 @@ def _pack(batches, window: int, with_ids: bool, stats: Stats, shard_ids: int):
     held: list = []
     size = postings = 0
     for batch in batches:
-        for name, stored in zip(batch.column(0), batch.column(1)):
-            ids = ids_of(stored.as_py())
+        for name, wide, stored in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2)):
+            ids = np.frombuffer(stored.as_py(), "<u4" if wide else "<u2")
             held.append((name.as_py(), ids, terms_of(ids)))
             size += len(ids)
             postings += len(held[-1][2][0])
@@ -380,13 +405,14 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
     space = Workspace(docs.sparkSession, "packing")
     bare = need(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     ids = bare.mapInArrow(partial(_tokenise, vocabulary=vocabulary or default_vocabulary(), end_id=end_id), TOKENISED)
-    tokenised = space.put(ids.withColumn("row", F.monotonically_increasing_id()), "tokenised").withColumn("place", F.coalesce("doc_id", F.lit(FIRST_ID)))
-    stats = stats_of(tokenised)
-    keys = tokenised.select("ids", "place", "row", "n_ids").mapInArrow(partial(_sketch, stats=stats), "sketch long, place long, row long, n_ids long")
+    written = space.put(ids.withColumn("row", F.monotonically_increasing_id()), "tokenised")
+    stats = stats_of(written)
+    tokenised = written.where("n_ids > 0").withColumn("place", F.coalesce("doc_id", F.lit(FIRST_ID)))
+    keys = tokenised.select("wide", "ids", "place", "row", "n_ids").mapInArrow(partial(_sketch, stats=stats), "sketch long, place long, row long, n_ids long")
     ends = bounds(space.put(keys, "keys"), task_ids)
-    dealt = tokenised.select("place", "row", "doc_id", "ids").mapInArrow(partial(_deal, ends=ends, stats=stats), "task int, sketch long, place long, row long, doc_id long, ids binary")
+    dealt = tokenised.select("place", "row", "doc_id", "wide", "ids").mapInArrow(partial(_deal, ends=ends, stats=stats), "task int, sketch long, place long, row long, doc_id long, wide boolean, ids binary")
     ordered = dealt.repartitionById(len(ends) + 1, "task").sortWithinPartitions(*ORDER)
-    return ordered.select("doc_id", "ids").mapInArrow(partial(_pack, window=window, with_ids=with_ids, stats=stats, shard_ids=shard_ids), PIECES_IDS if with_ids else PIECES)
+    return ordered.select("doc_id", "wide", "ids").mapInArrow(partial(_pack, window=window, with_ids=with_ids, stats=stats, shard_ids=shard_ids), PIECES_IDS if with_ids else PIECES)
 
 
 def op7_retrieval_packing(spark, sf_dir: str) -> DataFrame:

@@ -185,7 +185,7 @@ def _encode(batches, vocabulary: str, end_id: int, per_file: int):
 
     part, file = TaskContext.get().partitionId(), 0
     bpe = encoder(vocabulary)
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
     schema = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("n_ids", pa.int64()), ("image", pa.binary())])
     names: list = []
     held: list[np.ndarray] = []
@@ -196,7 +196,7 @@ def _encode(batches, vocabulary: str, end_id: int, per_file: int):
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0), batch.column(1)):
-            ids = np.frombuffer(bpe.encode_one(text.as_py() or "") + end, "<u4")
+            ids = np.concatenate([np.frombuffer(bpe.encode_one(text.as_py() or ""), bpe.dtype), end])
             if held and size + len(ids) > per_file:
                 yield flush()
                 names, held, size, file = [], [], 0, file + 1

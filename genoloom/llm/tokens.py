@@ -33,9 +33,12 @@ def byte_alphabet() -> str:
 
 
 class Words(dict):
-    """Ids of a word with a space before it, found when first asked for."""
+    """Ids of a word with a space before it, found when first asked for.
 
-    def __init__(self, tokenizer) -> None:
+    ``kind``: the array type code of ids, two bytes or four.
+    """
+
+    def __init__(self, tokenizer, kind: str) -> None:
         import public_tokenizers
         import regex
 
@@ -44,28 +47,33 @@ class Words(dict):
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.space = self.alphabet[0x20]
-        self.marks = {m: array("I", [t.id for t in self.model(m)]).tobytes() for m in ".,;:!?"}
+        self.kind = kind
+        self.marks = {m: array(kind, [t.id for t in self.model(m)]).tobytes() for m in ".,;:!?"}
 
     def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace():
+        if word.isalpha():
+            if word.isascii():
+                ids = [t.id for t in self.model(self.space + word)]
+            elif max(word) <= LAST_LATIN:
+                ids = [t.id for t in self.model(self.space + word.encode().decode("latin-1").translate(self.alphabet))]
+            else:
+                ids = self.whole(" " + word, add_special_tokens=False).ids
+        elif not word or word[0].isspace():
             raise KeyError(word)
-        if word.isascii() and word.isalpha():
-            ids = [t.id for t in self.model(self.space + word)]
         elif word[-1] in self.marks and word[:-1].isalpha():
             # letters and one mark are two pieces
             self[word] = found = self[word[:-1]] + self.marks[word[-1]]
             return found
         elif word.isascii() or max(word) <= LAST_LATIN:
-            pieces = (" " + word,) if word.isalpha() else self.pieces(" " + word)
-            ids = [t.id for p in pieces for t in self.model(p.encode().decode("latin-1").translate(self.alphabet))]
+            ids = [t.id for p in self.pieces(" " + word) for t in self.model(p.encode().decode("latin-1").translate(self.alphabet))]
         else:
             ids = self.whole(" " + word, add_special_tokens=False).ids
-        self[word] = found = array("I", ids).tobytes()
+        self[word] = found = array(self.kind, ids).tobytes()
         return found
 
 
 class Encoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
+    """Gives each text's ids as little-endian unsigned bytes of type ``dtype``: two an id where the vocabulary allows, else four."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,12 +82,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = Words(self.tokenizer)
+        self.kind = "H" if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else "I"
+        self.dtype = f"<u{array(self.kind).itemsize}"
+        self.words = Words(self.tokenizer, self.kind)
         self.heads: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         """Through the library's whole pipeline."""
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def head(self, word: str) -> bytes:
         """A text's first word, which has no space before it."""
@@ -104,9 +114,6 @@ class Encoder:
         except KeyError:
             return self.whole(text)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.encode_one(t) for t in texts]
-
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a vocabulary file."""
@@ -115,18 +122,6 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def slices(texts: list[str], chars: int = 1_000_000):
-    """(start, end) of runs of texts of about ``chars`` characters, a text at least."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > chars:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def default_vocabulary() -> str:
     import public_tokenizers
 
