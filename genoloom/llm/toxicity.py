@@ -1,25 +1,29 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Words that look disguised (letters mixed with digits or signs, stretched or
-doubled letters, letters set apart) become character lattices: each character
-may stand for letters it resembles, a repeated one or a separator may be noise.
-A Viterbi search under a character trigram model restores the likeliest
-readings. The restored text is scored by a lexicon of words and word beginnings
-learned from labels: those whose texts are toxic far more often than chance
-allows, near copies counted once.
-
-The language model and the lexicon are fitted on at most ``most_rows`` labelled
-training rows, those with the smallest hash of their doc_id; every document is
-scored.
+Words that may be disguised (letters mixed with digits or signs, parted or
+doubled letters, letters set apart by blanks, letters of other alphabets or with
+accents) become character lattices: each character may stand for letters it
+resembles, a repeated one or a separator may be noise. A Viterbi search under a
+character trigram model restores the likeliest readings, in time linear in the
+word. The language model is counted over all texts.
+
+The restored text, its words as they stand and their readings, is scored by a
+logistic classifier over words and character n-grams (their presence). Its
+features are those whose texts are toxic more often than chance allows. It is
+fitted on at most ``most_rows`` labelled training rows, those with the smallest
+hash of their doc_id; near copies among them share the weight of one row. Every
+document is scored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,14 +31,23 @@ from pyspark.sql import functions as F
 from genoloom.llm.common import Workspace, need, text_hash
 from genoloom.llm.pii import TABLE as LOOKALIKES
 
+#: Labelled rows and features of the classifier, at most.
 MOST_ROWS = 30_000
-#: Lengths of word beginnings that are evidence; whole words shorter than the longest count as beginnings too.
-LENGTHS = (4, 5, 6, 7, 8)
+MOST_FEATURES = 1_000
+#: Lengths of character n-grams; a word has a mark at either end.
+GRAMS = (3, 4, 5)
+#: Lengths of word beginnings beyond those.
+BEGINNINGS = (6, 7, 8, 9)
 MIN_SUPPORT = 4
 CHANCE = 1e-8
-MIN_PRECISION = 0.9
+MIN_PRECISION = 0.5
+RIDGE = 0.1
 READINGS = 5
 PER_STATE = 3
+#: Characters decoded together; a longer word is decoded in pieces that share OVERLAP characters.
+PIECE, OVERLAP = 48, 12
+#: Words whose features a task remembers.
+CACHE = 300_000
 
 # Letters that a sign can stand for.
 LEET = {
@@ -46,9 +59,10 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _STRIP = ".,;:!?\"'()[]{}*#%&=-_~<>/\\|`^$+"
 _TAIL = _STRIP
 _HEAD = _STRIP.replace("$", "").replace("|", "").replace("+", "").replace("(", "")
-_MIXED = re.compile(r"(?=.*[a-z])(?=.*[^a-z])[a-z0134567 89@$!|+(<€£¡¢#*]{3,}".replace(" ", ""))
-_PARTED = re.compile(r"[a-z0-9@$!|+*](?:[.\-_*~/][a-z0-9@$!|+*]){2,}")
-_STRETCHED = re.compile(r"([a-z])\1(?:\1|([a-z])\2([a-z])\3)")
+_DOUBLED = re.compile(r"(.)\1+")
+_JOINTS = re.compile(r"[.\-_*~'`^/\\,]+")
+_LATTICE = re.compile(r"(?=.*[a-z])[a-z0-9@$!|+(<€£¡¢#.\-_*~'`^/\\,]{2,}")
+_MASK = (1 << 61) - 1
 _SPACED = re.compile(r"(?<!\S)[^\s](?: [^\s]){3,}(?!\S)")
 # Costs of the channel, in nats.
 COST_SIGN, COST_REPEAT, COST_SEPARATOR, COST_WILD, COST_KEEP_REPEAT = 0.7, 0.2, 0.2, 1.0, 0.7
@@ -101,134 +115,237 @@ def options(word: str) -> list[list[tuple[str, float]]]:
 
 
 def restore(word: str, model: CharModel, readings: int = READINGS) -> list[str]:
-    """The likeliest readings of a disguised word, best first."""
-    states: dict[str, list[tuple[float, str]]] = {"  ": [(0.0, "")]}
+    """The likeliest readings of a disguised word, best first.
+
+    A path is a cost, its last letter and the path before, so a step costs the
+    same however long the word is. Paths to a state that spell the same are one.
+    """
+    states: dict[str, list[tuple]] = {"  ": [(0.0, 0, "", None)]}
     for arcs in options(word):
-        after: dict[str, list[tuple[float, str]]] = {}
+        after: dict[str, list[tuple]] = {}
         for state, held in states.items():
             for c, k in arcs:
                 if c:
-                    step, to = k + model.cost(state, c), state[1] + c
-                    after.setdefault(to, []).extend((s + step, t + c) for s, t in held)
+                    step = k + model.cost(state, c)
+                    after.setdefault(state[1] + c, []).extend((p[0] + step, (p[1] * 31 + ord(c)) & _MASK, c, p) for p in held)
                 else:
-                    after.setdefault(state, []).extend((s + k, t) for s, t in held)
-        states = {}
-        for state, held in after.items():
-            best: dict[str, float] = {}
-            for s, t in sorted(held)[: 3 * PER_STATE]:
-                best.setdefault(t, s)
-            states[state] = [(s, t) for t, s in list(best.items())[:PER_STATE]]
-    final = sorted((s + model.cost(state, " "), t) for state, held in states.items() for s, t in held)
-    return [t for _, t in final[:readings]]
+                    after.setdefault(state, []).extend((p[0] + k, *p[1:]) for p in held)
+        states = {state: _best(held, PER_STATE) for state, held in after.items()}
+    final = [(p[0] + model.cost(state, " "), *p[1:]) for state, held in states.items() for p in held]
+    return [_spelled(p) for p in _best(final, readings)]
+
+
+def _best(paths: list[tuple], most: int) -> list[tuple]:
+    """The cheapest paths, of those that spell the same the first."""
+    kept: dict[int, tuple] = {}
+    for p in sorted(paths, key=lambda p: p[:2]):
+        if p[1] not in kept:
+            kept[p[1]] = p
+            if len(kept) == most:
+                break
+    return list(kept.values())
+
+
+def _spelled(path: tuple) -> str:
+    out = []
+    while path is not None:
+        out.append(path[2])
+        path = path[3]
+    return "".join(reversed(out))
+
+
+def folded(word: str) -> str:
+    """Look-alike letters as Latin ones, accents off."""
+    plain = unicodedata.normalize("NFKD", word.translate(LOOKALIKES))
+    return "".join(c for c in plain if not unicodedata.combining(c)).lower()
+
+
+def grams(word: str):
+    """A word's features: itself, its character n-grams, ends marked, and its longer beginnings."""
+    marked = f"^{word}$"
+    yield marked
+    for n in BEGINNINGS:
+        if n < len(marked):
+            yield marked[:n]
+    for n in GRAMS:
+        for i in range(len(marked) - n + 1):
+            yield marked[i : i + n]
+
+
+def inner_grams(letters: str):
+    """Features of letters whose word ends aren't known."""
+    for n in GRAMS:
+        for i in range(len(letters) - n + 1):
+            yield letters[i : i + n]
 
 
 class Reader:
-    """A text's words, and the restored readings of those that look disguised."""
+    """A text's features: those of its words and of the restored readings of those that look disguised.
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        self.model = CharModel(counts)
-        self.known: dict[str, list[str]] = {}
+    ``known``: only these features count, by number; without them all do.
+    """
 
-    def readings(self, word: str) -> list[str]:
-        found = self.known.get(word)
+    def __init__(self, counts: dict[str, int], known: dict[str, int] | None = None) -> None:
+        self.model = CharModel(counts)
+        self.known = known
+        self.cache: dict[str, tuple] = {}
+
+    def kept(self, features) -> tuple:
+        if self.known is None:
+            return tuple(set(features))
+        return tuple({self.known[f] for f in features if f in self.known})
+
+    def readings(self, word: str) -> set[str]:
+        """What a word, in lower case, may be: itself without outer marks, and what it may disguise."""
+        core = word.rstrip(_TAIL).lstrip(_HEAD)
+        if not core:
+            return set()
+        if not core.isascii():
+            plain = folded(core)
+            found = {core} if core.isalpha() else set()
+            # only what is plain by now is read on, so this ends
+            return found | self.readings(plain) if plain != core and plain.isascii() else found | self._decoded(core)
+        found = set()
+        if core.isalpha():
+            found.add(core)
+            if _DOUBLED.search(core):
+                found.add(_DOUBLED.sub(r"\1", core))
+                if re.search(r"(.)\1(?:\1|.*(.)\2)", core):
+                    found |= self._decoded(core)
+            return found
+        parts = _JOINTS.split(core)
+        if len(parts) > 1 and all(p.isalpha() for p in parts):
+            found |= {*parts, "".join(parts)}
+            if min(map(len, parts)) > 2 and "*" not in core:
+                return found
+        return found | self._decoded(core)
+
+    def _decoded(self, core: str) -> set[str]:
+        if not _LATTICE.fullmatch(core):
+            return set()
+        pieces = [core] if len(core) <= PIECE else [core[i : i + PIECE] for i in range(0, len(core) - OVERLAP, PIECE - OVERLAP)]
+        return {r for p in pieces for r in restore(p, self.model)}
+
+    def features(self, word: str) -> tuple:
+        found = self.cache.get(word)
         if found is None:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            self.known[word] = found = restore(word, self.model)
+            if len(self.cache) > CACHE:
+                self.cache.clear()
+            found = self.kept(f for r in self.readings(word) for f in grams(r))
+            if len(word) <= PIECE:
+                self.cache[word] = found
         return found
 
-    def read(self, text: str) -> tuple[set[str], set[str]]:
-        """(words without outer marks, restored readings)."""
+    def read(self, text: str) -> set:
+        """All features of a text."""
         low = text.lower()
-        odd = not low.isascii() and low.translate(LOOKALIKES)
-        if odd and odd != low:
-            low = low + " " + odd
-        raw = set(low.split())
-        words = {w for w in raw if w.isalpha()}
-        disguised = []
-        for w in raw - words:
-            core = w.rstrip(_TAIL).lstrip(_HEAD)
-            if core.isalpha():
-                words.add(core)
-            elif core and (_MIXED.fullmatch(core) or _PARTED.fullmatch(core)) and not core.isdigit():
-                disguised.append(core)
-        if _STRETCHED.search(low):
-            disguised += [w.rstrip(_TAIL).lstrip(_HEAD) for w in raw if _STRETCHED.search(w)]
-        restored = {r for w in set(disguised) for r in self.readings(w)}
+        out: set = set()
+        for w in set(low.split()):
+            out.update(self.features(w))
         for m in _SPACED.finditer(low):
             letters = m[0].replace(" ", "")
             if any(c in LETTERS for c in letters):
-                # words may follow one another, so a word may begin at any letter
-                restored |= {r[i:] for r in self.readings(letters) for i in range(max(1, len(r) - LENGTHS[0] + 1))}
-        return words, restored
+                for i in range(0, max(1, len(letters) - OVERLAP), PIECE - OVERLAP):
+                    for r in restore(letters[i : i + PIECE], self.model):
+                        out.update(self.kept(f for x in (inner_grams(r), grams(r)) for f in x))
+        return out
 
 
-def evidence(words: set[str]) -> set[str]:
-    """Beginnings of the words, a whole short word included."""
-    return {w[:n] for w in words for n in LENGTHS if len(w) >= n}
+def _trigrams(batches):
+    """Trigrams of all words of letters a-z, as often as they occur."""
+    schema = pa.schema([("gram", pa.string()), ("n", pa.int64())])
+    words: Counter = Counter()
 
+    def counted():
+        total: Counter = Counter()
+        for w, n in words.items():
+            w = w.rstrip(_TAIL).lstrip(_HEAD)
+            if w.isascii() and w.isalpha():
+                p = f"  {w} "
+                for i in range(len(p) - 2):
+                    total[p[i : i + 3]] += n
+        words.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], schema=schema)
 
-def _trigrams(batches):
     for batch in batches:
-        total: Counter = Counter()
         for text in batch.column(0):
-            for w in set((text.as_py() or "").lower().split()):
-                w = w.rstrip(_TAIL).lstrip(_HEAD)
-                if w.isascii() and w.isalpha():
-                    p = f"  {w} "
-                    total.update([p[i : i + 3] for i in range(len(p) - 2)])
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
+            words.update((text.as_py() or "").lower().split())
+            if len(words) > 1_000_000:
+                yield counted()
+    if words:
+        yield counted()
 
 
-def _evidence_counts(batches, counts: dict):
+def _feature_counts(batches, counts: dict):
+    """In how many rows of either label a feature occurs, by the rows' weights."""
     reader = Reader(counts)
-    schema = pa.schema([("item", pa.string()), ("bad", pa.int64()), ("good", pa.int64())])
-    for batch in batches:
-        bad, good = Counter(), Counter()
-        for text, toxic in zip(batch.column(0), batch.column(1)):
-            words, restored = reader.read(text.as_py() or "")
-            (bad if toxic.as_py() else good).update(evidence(words | restored))
-        items = list(bad | good)
-        yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array([bad[i] for i in items], pa.int64()), pa.array([good[i] for i in items], pa.int64())], schema=schema)
+    schema = pa.schema([("feature", pa.string()), ("bad", pa.float64()), ("good", pa.float64())])
+    bad: dict[str, float] = {}
+    good: dict[str, float] = {}
 
+    def flush():
+        names = list(bad | good)
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([bad.get(x, 0.0) for x in names], pa.float64()), pa.array([good.get(x, 0.0) for x in names], pa.float64())], schema=schema)
+        bad.clear()
+        good.clear()
+        return out
 
-def _unmarked(batches, counts: dict, lexicon: dict):
-    """How many texts of either label hold no evidence."""
-    reader = Reader(counts)
     for batch in batches:
-        n: Counter = Counter()
-        for toxic, text in zip(batch.column(0), batch.column(1)):
-            words, restored = reader.read(text.as_py() or "")
-            n[int(toxic.as_py() != 0)] += lexicon.keys().isdisjoint(evidence(words | restored))
-        yield pa.RecordBatch.from_pydict({"toxic": pa.array(list(n), pa.int32()), "n": pa.array(list(n.values()), pa.int64())})
+        for text, toxic, weight in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            into = bad if toxic else good
+            for f in reader.read(text.as_py() or ""):
+                into[f] = into.get(f, 0.0) + weight
+            if len(bad) + len(good) > 1_500_000:
+                yield flush()
+    if bad or good:
+        yield flush()
+
+
+def _rows(batches, counts: dict, known: dict):
+    """Each labelled row's features by number."""
+    reader = Reader(counts, known)
+    for batch in batches:
+        found = [sorted(reader.read(t.as_py() or "")) for t in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "weight", "found"])
 
 
-def lexicon_of(items: list[tuple[str, int, int]], bad_rows: int, good_rows: int) -> dict[str, float]:
-    """Beginnings that mark toxic texts, with their precision.
+def chosen(items: list[tuple[str, float, float]], bad_rows: float, good_rows: float) -> list[str]:
+    """Features whose rows could hardly be so often toxic by chance, the most telling first.
 
-    An item counts if its texts could hardly be so often toxic by chance: the
-    probability of its counts at the overall share of toxic texts is below
-    ``CHANCE``. Of nested beginnings, the longest that keeps nearly all the
-    evidence stands for the chain.
+    By chance: the probability of a feature's counts at the overall share of
+    toxic rows is below ``CHANCE``.
     """
-    share = bad_rows / max(1, bad_rows + good_rows)
+    share = bad_rows / max(1e-9, bad_rows + good_rows)
     if not 0 < share < 1:
-        return {}
-    found = {}
+        return []
+    found = []
     for item, bad, good in items:
         ways = math.lgamma(bad + good + 1) - math.lgamma(bad + 1) - math.lgamma(good + 1)
-        if bad * math.log(share) + good * math.log(1 - share) + ways < math.log(CHANCE):
-            found[item] = (bad, good)
-    best: dict[str, int] = {}
-    for item, (bad, _) in found.items():
-        best[item[:-1]] = max(best.get(item[:-1], 0), bad)
-    kept: dict[str, float] = {}
-    for item in sorted(found, key=len):
-        bad, good = found[item]
-        if best.get(item, 0) >= 0.95 * bad or any(item[:n] in kept for n in LENGTHS if n < len(item)):
-            continue
-        kept[item] = (bad + 0.5) / (bad + good + 1.0)
-    return kept
+        chance = bad * math.log(share) + good * math.log(1 - share) + ways
+        if chance < math.log(CHANCE):
+            found.append((chance, item))
+    return [item for _, item in sorted(found)[:MOST_FEATURES]]
+
+
+def logistic(patterns: list[tuple[tuple, float, float]], features: int, ridge: float = RIDGE) -> np.ndarray:
+    """Weights (the constant last) of a ridge logistic fit; ``patterns``: (features, weight of toxic rows, of others)."""
+    x = np.zeros((len(patterns), features + 1), np.float32)
+    x[:, features] = 1
+    for i, (held, _, _) in enumerate(patterns):
+        x[i, list(held)] = 1
+    bad, all_ = np.array([p[1] for p in patterns]), np.array([p[1] + p[2] for p in patterns])
+    w = np.zeros(features + 1)
+    keep = np.full(features + 1, ridge)
+    keep[features] = 1e-3
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (bad - all_ * p) - keep * w
+        curve = (x * (all_ * p * (1 - p))[:, None]).T @ x + np.diag(keep)
+        step = np.linalg.solve(curve.astype(float), gradient)
+        w += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-4:
+            break
+    return w
 
 
 def held_out_column(doc_id="doc_id"):
@@ -236,55 +353,48 @@ def held_out_column(doc_id="doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, space: Workspace, most_rows: int = MOST_ROWS) -> dict:
-    """The channel's language model and the lexicon, from labelled training rows only."""
+    """The channel's language model from all texts; the classifier from labelled training rows only."""
+    found = need(docs, "text").mapInArrow(_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = {r.gram: r.n for r in found.collect()}  # a-z and a mark: at most 27 ** 3 rows
     marked = need(labels, "doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out_column())
     # at most most_rows rows of two numbers, so it may be broadcast
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    train = need(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    # near copies mostly share the least hashes of their words; one of each stays
+    train = need(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", (F.col("toxic") != 0).alias("toxic"))
+    # near copies mostly share the least hashes of their words; together they weigh as much as one row
     hashes = F.array_sort(F.array_distinct(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.xxhash64(w))))
-    train = train.withColumn("sketch", F.slice(hashes, 1, 4)).dropDuplicates(["sketch", "toxic"]).drop("sketch")
-    train = space.put(train, "train")
-    grams = train.select("text").mapInArrow(_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    counts = {r.gram: r.n for r in grams.collect()}  # a-z and a mark: at most 27 ** 3 rows
-    found = train.mapInArrow(partial(_evidence_counts, counts=counts), "item string, bad long, good long")
-    found = found.groupBy("item").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    sizes = train.groupBy("toxic").count().collect()
-    bad_rows = sum(r["count"] for r in sizes if r.toxic)
-    good_rows = sum(r["count"] for r in sizes if not r.toxic)
-    precise = found.where((F.col("bad") >= MIN_SUPPORT) & (F.col("bad") >= MIN_PRECISION * (F.col("bad") + F.col("good"))))
-    items = [(r.item, r.bad, r.good) for r in precise.orderBy("item").collect()]
-    lexicon = lexicon_of(items, bad_rows, good_rows)
-    rest = train.select("toxic", "text").mapInArrow(partial(_unmarked, counts=counts, lexicon=lexicon), "toxic int, n long").groupBy("toxic").agg(F.sum("n").alias("n")).collect()
-    missed = sum(r.n for r in rest if r.toxic)
-    clean = sum(r.n for r in rest if not r.toxic)
-    return {"counts": counts, "lexicon": lexicon, "rest": (missed + 0.5) / (missed + clean + 1.0) if bad_rows + good_rows else 0.0}
+    train = space.put(train.withColumn("sketch", F.slice(hashes, 1, 4)), "train")
+    sizes = train.groupBy("sketch", "toxic").agg((1 / F.count(F.lit(1))).alias("weight"))
+    train = space.put(train.join(sizes, ["sketch", "toxic"]).select("text", "toxic", "weight"), "weighed")
+    told = {r.toxic: r.weight for r in train.groupBy("toxic").agg(F.sum("weight").alias("weight")).collect()}
+    bad_rows, good_rows = told.get(True, 0.0), told.get(False, 0.0)
+    if not bad_rows or not good_rows:
+        return {"counts": counts, "known": {}, "weights": np.array([30.0 if bad_rows else -30.0]), "names": []}
+    items = train.mapInArrow(partial(_feature_counts, counts=counts), "feature string, bad double, good double").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    telling = items.where((F.col("bad") >= MIN_SUPPORT) & (F.col("bad") >= MIN_PRECISION * (F.col("bad") + F.col("good"))))
+    # rounded, as sums of weights depend on their order in the last places
+    names = chosen([(r.feature, round(r.bad, 6), round(r.good, 6)) for r in telling.orderBy("feature").collect()], bad_rows, good_rows)
+    known = {f: i for i, f in enumerate(names)}
+    sums: dict = {}
+    rows = train.mapInArrow(partial(_rows, counts=counts, known=known), "toxic boolean, weight double, found array<int>")
+    for r in rows.groupBy("toxic", "found").agg(F.sum("weight").alias("weight")).orderBy("found", "toxic").collect():
+        both = sums.setdefault(tuple(r.found), [0.0, 0.0])
+        both[0 if r.toxic else 1] += round(r.weight, 6)
+    weights = logistic([(k, *v) for k, v in sums.items()], len(names))
+    return {"counts": counts, "known": known, "weights": weights, "names": names}
 
 
 def _score(batches, model: dict):
-    reader = Reader(model["counts"])
-    lexicon = model["lexicon"]
-    gate = {k[: LENGTHS[0]] for k in lexicon}
+    reader = Reader(model["counts"], model["known"])
+    weights, names = model["weights"], model["names"]
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("found", pa.string()), ("text_hash", pa.int64())])
-
-    def hits(words):
-        near = [w for w in words if w[: LENGTHS[0]] in gate]
-        return {w[:n] for w in near for n in LENGTHS if w[:n] in lexicon and len(w) >= n}
-
     for batch in batches:
         scores, found = [], []
         for text in batch.column(1):
-            words, restored = reader.read(text.as_py() or "")
-            plain = hits(words)
-            hidden = hits(restored) - plain
-            left = 1.0 - model["rest"]
-            for h in plain:
-                left *= 1.0 - lexicon[h]
-            for h in hidden:
-                left *= 1.0 - 0.95 * lexicon[h]
-            scores.append(min(1.0, max(0.0, 1.0 - left)))
-            found.append(",".join(sorted(plain | hidden)))
+            held = sorted(reader.read(text.as_py() or ""))
+            z = float(weights[held].sum() + weights[-1])
+            scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+            found.append(",".join(names[i] for i in held))
         n = len(scores)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(found, pa.string()), batch.column(3)], schema=schema)
 
@@ -292,14 +402,15 @@ def _score(batches, model: dict):
 def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """Scores of ``docs`` (doc_id, text) for what ``labels`` (doc_id, toxic) marks.
 
-    Output: doc_id, held_out, score (0 to 1), predicted, found (the evidence),
-    text_hash.
+    Output: doc_id, held_out, score (0 to 1), predicted, found (the features
+    it has), text_hash.
     Learns from rows whose crc32(doc_id as text) mod 5 is not 0. A null text is
-    empty and gets the score of a text without evidence; a null doc_id counts
+    empty and gets the score of a text without features; a null doc_id counts
     as an empty one for the split and has no label. A document labelled more
     than once is toxic if any label says so; null labels are none. Without
-    labels the score is 0. Repeated rows score alike; an empty table gives an
-    empty result.
+    toxic labels the score is next to 0, without others next to 1. Repeated
+    rows score alike; an empty table gives an empty result. Extra columns are
+    ignored.
     """
     space = Workspace(docs.sparkSession, "toxicity")
     model = fit(docs, labels, space, most_rows)
