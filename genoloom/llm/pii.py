@@ -7,8 +7,11 @@ digits. Each rewrite keeps, for every character it writes, which source
 characters it came from; identifiers found in the rewritten text are mapped
 back to spans of the source and added.
 
-A rewrite needs evidence (brackets, an address with both "at" and "dot", a run
-of digit words), so ordinary prose stays as it is.
+A rewrite needs evidence, so ordinary prose stays as it is: brackets, a run of
+digit words, or for a spelled address an "@", an ending that is hardly a word,
+or anything else that prose seldom has about "at" (a dot or digit in the name, a
+mail provider, three labels, a word such as "mail" before it). With such
+evidence any ending counts, as the plain pattern has no list of them either.
 """
 
 from __future__ import annotations
@@ -65,12 +68,84 @@ _SPELLED = re.compile(rf"\b(?:plus[\s,-]+)?{_WORD}\b(?:[\s,-]+(?:dot[\s,-]+|poin
 _TWO_WORDS = re.compile(rf"\b{_WORD}[\s,-]+(?:dot[\s,-]+|point[\s,-]+)?(?:{_WORD}\b|[0-9])")
 _SPELLED_PART = re.compile(rf"(plus)|(dot|point)|({_WORD})|([0-9]+)|([\s,-]+)", re.I)
 _BRACKETED = re.compile(r"[\x20\t]{0,3}[\[({<]\s{0,3}(?:(at|@)|(dot|\.|punkt|punto|point))\s{0,3}[\])}>][\x20\t]{0,3}", re.I)
-# Endings that a wholly spelled address may have; none is a common word.
-ENDINGS = "com org net edu gov mil info biz io ai co app dev xyz uk de fr es nl ch eu ca au nz jp cn br ru pl se dk fi ie pt gr cz mx ar example test".split()
-# lengths are those an address may have, which keeps the search linear
-_LABEL = r"[A-Za-z0-9_%+-]{1,64}"
-_SPOKEN = re.compile(rf"\b{_LABEL}(?:(?:\s{{1,3}}dot\s{{1,3}}|\.){_LABEL}){{0,8}}(\s{{1,3}}at\s{{1,3}}|\s{{0,3}}@\s{{0,3}})(?:[A-Za-z0-9-]{{1,63}})(?:(?:\s{{1,3}}dot\s{{1,3}}|\.)[A-Za-z0-9-]{{1,63}}){{0,8}}\s{{1,3}}dot\s{{1,3}}(?:{"|".join(ENDINGS)})\b", re.I)
-_SPOKEN_PART = re.compile(r"(\s+at\s+|\s*@\s*)|(\s+dot\s+)", re.I)
+# Endings that are evidence of a spelled address by themselves; none is a common word.
+ENDINGS = frozenset("com org net edu gov mil info biz io ai co app dev xyz uk de fr es nl ch eu ca au nz jp cn br ru pl se dk fi ie pt gr cz mx ar example test".split())
+# Common words, which end or begin no address without other evidence.
+COMMON = frozenset("a about above after again all also am an and any are as at be because been before being below but by can did do does down each few for from go had has have he her here him his how i if in into is it its just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up us very was we were what when where which while who why will with would you your".split())
+# Labels of mail providers.
+PROVIDERS = frozenset("gmail googlemail hotmail outlook yahoo icloud proton protonmail fastmail zoho yandex gmx aol live msn".split())
+_ASKED = re.compile(r"(?:e-?mail|mail|contact|reach|write|address|send|ping)\b[^.!?\n]{0,40}$", re.I)
+_AT = re.compile(r"(?<=\s)at(?=\s)|@", re.I)
+_BACK = re.compile(r"\s{1,3}tod(?=\s)", re.I)  # "dot", read backwards
+_LEFT_GAP = re.compile(r"\s{0,3}")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]+)+", re.I)
+_SPOKEN_DOT = re.compile(r"\s+dot\s+", re.I)
+
+
+def _local_part(text: str, end: int, least: int) -> int:
+    """Where the name before ``end`` begins, spelled dots included; ``end`` if there is none."""
+    start = end
+    while True:
+        at = start
+        while at > least and text[at - 1] in LOCAL:
+            at -= 1
+        if at == start:
+            return start if start == end else _skip(text, start, end)
+        start = at
+        # a spelled dot and blanks before it
+        gap = _BACK.match(text[max(least, start - 12) : start][::-1])
+        if not gap:
+            return start
+        blanks = _LEFT_GAP.match(text[max(least, start - gap.end() - 3) : start - gap.end()][::-1]).end()
+        if not blanks:
+            return start
+        before = start - gap.end() - blanks
+        if before <= least or text[before - 1] not in LOCAL:
+            return start
+        start = before
+
+
+def _skip(text: str, start: int, end: int) -> int:
+    """Past a dot that no name stands before."""
+    while start < end and not text[start].isalnum():
+        start += 1
+    return start
+
+
+def spoken(text: str):
+    """(start, end, place of the "@") of spelled addresses that have evidence, in time linear in the text."""
+    done = 0
+    for m in _AT.finditer(text):
+        literal = m[0] == "@"
+        name_end = m.start() - _LEFT_GAP.match(text[max(done, m.start() - 3) : m.start()][::-1]).end()
+        right = m.end() + _LEFT_GAP.match(text, m.end()).end() - m.end()
+        domain = _DOMAIN.match(text, right)
+        if domain is None or name_end <= done or m.start() < done:
+            continue
+        start = _local_part(text, name_end, done)
+        if start >= name_end:
+            continue
+        end = domain.end()
+        labels = re.split(r"\s+dot\s+|\.", domain[0], flags=re.I)
+        # a sentence may run on after an address
+        while len(labels) > 2 and labels[-1].lower() in COMMON:
+            labels.pop()
+            cut = max(x.start() for x in re.finditer(r"\s+dot\s+|\.", text[right:end], re.I))
+            end = right + cut
+        name, ending = text[start:name_end], labels[-1].lower()
+        spelled = bool(_SPOKEN_DOT.search(text, right, end))
+        if not (ending.isalpha() and 2 <= len(ending) <= 24) or literal and not spelled and not _SPOKEN_DOT.search(name) and right == m.end() and name_end == m.start():
+            continue
+        if not literal:
+            asked = _ASKED.search(text[max(0, start - 60) : start]) is not None
+            evidence = asked or _SPOKEN_DOT.search(name) or re.search(r"[0-9_.+%]", name) or len(labels) > 2 or labels[0].lower() in PROVIDERS or "mail" in labels[0].lower()
+            if not (spelled and (ending in ENDINGS or evidence) or asked) or name.lower() in COMMON and not asked:
+                continue
+        done = end
+        yield start, end, (m.start(), m.end())
+
+
+_ASKED_AT = re.compile(r"(?:mail|contact|reach|write|address|send|ping)\b[^.!?\n]{0,60}\sat\s+[a-z0-9-]+\.[a-z]")
 _DOTTED = re.compile(r"(?<=[0-9])\s+dot\s+(?=[0-9])", re.I)
 
 
@@ -189,10 +264,10 @@ def normalised(text: str) -> Rewritten | None:
     """The text with all disguises undone, or None where nothing looks disguised."""
     odd = not text.isascii() and _SUSPECT.search(text)
     low = text.lower()
-    spoken = " dot " in low or "\ndot " in low or " dot\n" in low
+    talk = " dot " in low or "\ndot " in low or " dot\n" in low or "@" in low and re.search(r"\s@|@\s", low) or " at " in low and _ASKED_AT.search(low)
     words = _TWO_WORDS.search(low)
     boxed = _BRACKETED.search(text) if any(c in text for c in "[({<") else None
-    if not (odd or spoken or words or boxed):
+    if not (odd or talk or words or boxed):
         return None
     now = Rewritten(text)
     if odd:
@@ -202,8 +277,15 @@ def normalised(text: str) -> Rewritten | None:
     now = now.rewrite([(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(now.text)])
     now = now.rewrite([e for m in _SPELLED.finditer(now.text) for e in _spelled(m)])
     edits = []
-    for m in _SPOKEN.finditer(now.text):
-        edits += [(p.start(), p.end(), "@" if p[1] else ".") for p in _SPOKEN_PART.finditer(now.text, m.start(), m.end())]
+    for start, end, (a, b) in spoken(now.text):
+        text = now.text
+        while text[a - 1].isspace():
+            a -= 1
+        while text[b].isspace():
+            b += 1
+        edits += [(p.start(), p.end(), ".") for p in _SPOKEN_DOT.finditer(text, start, a)]
+        edits.append((a, b, "@"))
+        edits += [(p.start(), p.end(), ".") for p in _SPOKEN_DOT.finditer(text, b, end)]
     now = now.rewrite(edits)
     return now.rewrite([(m.start(), m.end(), ".") for m in _DOTTED.finditer(now.text)])
 
