@@ -40,7 +40,8 @@ def test_encoder_is_the_library(text):
 
     if "library" not in _LIBRARY:
         _LIBRARY["library"] = Tokenizer.from_file(tokens.default_vocabulary())
-    got = np.frombuffer(tokens.encoder(tokens.default_vocabulary()).encode_one(text), "<u4").tolist()
+    e = tokens.encoder(tokens.default_vocabulary())
+    got = np.frombuffer(e.encode_one(text), e.dtype).tolist()
     assert got == _LIBRARY["library"].encode(text, add_special_tokens=False).ids
 
 
@@ -121,7 +122,7 @@ def test_packing_deals_by_ids(spark):
     assert sum(shares) == total and len(shares) >= 12 and max(shares) <= even * 1.25 + 4000
     assert packing.bounds(rows.limit(0)) == [] and packing.bounds(rows, task_ids=10**9) == []
     packed = packing.pack(spark.createDataFrame([(i % 7, "some words " * (i % 90)) for i in range(200)], "doc_id long, text string"), task_ids=1000).collect()
-    assert len({p.sequence_id >> 33 for p in packed}) > 5 and sum(p.length for p in packed) == sum(len(tokens.encoder(tokens.default_vocabulary()).whole("some words " * (i % 90))) // 4 + 1 for i in range(200))
+    assert len({p.sequence_id >> 33 for p in packed}) > 5 and sum(p.length for p in packed) == sum(len(tokens.encoder(tokens.default_vocabulary()).whole("some words " * (i % 90))) // 2 + 1 for i in range(200))
 
 
 def corpus_of_topics(n=40):
@@ -359,7 +360,25 @@ def test_disguises(text, kind, span):
     assert [(pii.KINDS[k], text[a:b]) for a, b, k in spans] == [(kind, span)] and base == []
 
 
-@pytest.mark.parametrize("text", ["we met at noon. dot", "one two three go", "look at the dot on it", "he was at home (at last) [1]", "(at) all"])
+@pytest.mark.parametrize("text, span", [
+    ("ask alice at gmail dot in today", "alice at gmail dot in"), ("frank@mail dot me", "frank@mail dot me"), (f"to {'x' * 70} at example dot com", f"{'x' * 70} at example dot com"), ("john dot smith at firma dot it ok", "john dot smith at firma dot it"),
+    ("please mail jane at firma dot shop", "jane at firma dot shop"), ("jane_2 at firma dot us", "jane_2 at firma dot us"), ("contact me: jane at example.com now", "jane at example.com"), ("j @ example dot org", "j @ example dot org"),
+    ("it is bob at mail dot firma dot travel and more", "bob at mail dot firma dot travel"), ("Jane AT Example DOT Com", "Jane AT Example DOT Com"), ("j@firma dot co dot uk is", "j@firma dot co dot uk")])
+def test_spelled_addresses(text, span):
+    base, spans = pii.find(text)
+    assert [(pii.KINDS[k], text[a:b]) for a, b, k in spans] == [("email", span)]
+
+
+def test_long_texts_are_linear():
+    import time
+
+    for text in ("a dot " * 200_000, "x at y dot " * 100_000, "a" * 1_000_000 + " at b dot com", "at " * 300_000, "one " * 250_000, "a@ " * 300_000, "mail " * 200_000, "mail at " * 150_000):
+        began = time.process_time()
+        pii.find(text)
+        assert time.process_time() - began < 10
+
+
+@pytest.mark.parametrize("text", ["we looked at example.com today", "look at the dot on the page", "he was at home dot and then left", "we met at noon. dot", "one two three go", "look at the dot on it", "he was at home (at last) [1]", "(at) all"])
 def test_clean_prose_has_no_identifiers(text):
     assert pii.find(text) == ([], [])
 
@@ -382,6 +401,80 @@ def test_restore(word, want):
     assert want in toxicity.restore(word, toxicity.CharModel(counts))
 
 
+def toy_model():
+    counts = Counter()
+    for w in ["idiot", "stupid", "moron", "trash", "this", "that", "and", "the", "thing", "other"]:
+        p = f"  {w} "
+        counts.update({p[i : i + 3]: 20 for i in range(len(p) - 2)})
+    return toxicity.CharModel(counts)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("io1td.$s3a", min_size=1, max_size=5))
+def test_restore_is_the_exhaustive_search(word):
+    import itertools
+
+    model = toy_model()
+    best: dict = {}
+    for arcs in itertools.product(*toxicity.options(word)):
+        state, cost = "  ", 0.0
+        for c, k in arcs:
+            cost += k + (model.cost(state, c) if c else 0.0)
+            state = state[1] + c if c else state
+        text = "".join(c for c, _ in arcs)
+        best[text] = min(best.get(text, 1e9), cost + model.cost(state, " "))
+    found = toxicity.restore(word, model, 1)
+    assert best[found[0]] == pytest.approx(min(best.values()))
+
+
+def test_long_disguises_take_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    reader = toxicity.Reader({"  i": 5, " id": 5, "idi": 5}, {"idiot": 0})
+    for text in ("1" + "a4b0" * 25_000, " ".join("s t u p i d" for _ in range(20_000)), "a" * 200_000, "a.b-" * 50_000, "x1 " * 100_000):
+        tracemalloc.start()
+        began = time.process_time()
+        reader.read(text)
+        assert time.process_time() - began < 30 and tracemalloc.get_traced_memory()[1] < 200 << 20
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("text, word", [("such an idiot!", "idiot"), ("an 1d10t", "idiot"), ("an id-iot", "idiot"), ("so st.upid", "stupid"), ("so stuupid", "stupid"), ("a m o r o n", "moron"), ("ìdìöt", "idiot"), ("die", "die"), ("so ѕtupіd", "stupid"), ("tr*sh", "trash")])
+def test_features_of_disguises(text, word):
+    reader = toxicity.Reader(toy_model().counts)
+    got = reader.read(text)
+    assert f"^{word}$" in got or word[1:4] in got
+
+
+def test_logistic_is_the_plain_fit():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 2, (300, 3))
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x @ [2.0, -1.0, 0.5] - 0.7)))).astype(float)
+    sums: dict = {}
+    for row, t in zip(x, y):
+        both = sums.setdefault(tuple(np.flatnonzero(row).tolist()), [0.0, 0.0])
+        both[0 if t else 1] += 1
+    w = toxicity.logistic([(k, *v) for k, v in sums.items()], 3, ridge=0.01)
+    p = 1 / (1 + np.exp(-(np.c_[x, np.ones(300)] @ w)))
+    # at the best fit the gradient, with the ridge, is nought
+    assert np.abs(np.c_[x, np.ones(300)].T @ (y - p) - np.array([0.01, 0.01, 0.01, 1e-3]) * w).max() < 1e-2
+
+
+def test_calibration_is_the_plain_fit(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, False, int(rng.random() < 0.5), True, [float(x) for x in rng.normal(size=cotraining.N_TEXT)], [float(x) for x in rng.normal(size=cotraining.N_META)]) for i in range(200)]
+    viewed = spark.createDataFrame(rows, cotraining.VIEWED).repartition(3)
+    guides = {"text": np.round(rng.normal(size=cotraining.N_TEXT) / 9, 3), "meta": np.round(rng.normal(size=cotraining.N_META) / 9, 3)}
+    scales, told = cotraining.newton(viewed, {v: np.array([0.0, 1.0]) for v in guides}, guides, calibrate=True, steps=20)
+    y = np.array([r[2] for r in rows], float)
+    for v, i in (("text", 4), ("meta", 5)):
+        x = np.c_[np.ones(200), np.clip(np.array([r[i] for r in rows], np.float32).astype(float) @ guides[v], -15, 15)]
+        p = 1 / (1 + np.exp(-(x @ scales[v])))
+        assert np.abs(x.T @ (y - p) - cotraining.RIDGE * (scales[v] - [0.0, 1.0])).max() < 1e-2
+        assert told[v] == (200, y.sum())
+
+
 def test_op4_held_out(spark):
     base = "/root/testdata/sf0.01"
     found = cotraining.op4_cotrained_quality(spark, base).toPandas().merge(spark.read.parquet(f"{base}/labels.parquet").toPandas(), on="doc_id")
