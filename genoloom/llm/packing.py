@@ -305,7 +305,8 @@ def arrange(docs: list[np.ndarray], gap: int, window: int, stats: Stats, terms:
                     seed = int(rest[0]) if len(rest) else None
                 if not gap:
                     break
-            if not gap or left[left > 0].min(initial=window) > gap:
+            # the best one left is known, and nothing fits any more
+            if not gap or seed is not None and left[left > 0].min(initial=window) > gap:
                 break
         if not gap:
             gap, seed = window, None

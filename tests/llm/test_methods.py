@@ -155,6 +155,18 @@ def test_bm25_is_the_brute_force_one():
             assert sorted(found) == list(range(len(docs))) and all(want[a] >= want[b] - 1e-3 for a, b in zip(found, found[1:]))
 
 
+def test_packing_keeps_every_id_of_large_shards():
+    docs, stats = corpus_of_topics(3000)
+    docs = [d[-(i % 37) - 1 :] for i, d in enumerate(docs)]
+    done = [0] * len(docs)
+    used = 0
+    for d, start, length in packing.arrange(docs, 64, 64, stats):
+        assert start == done[d] and 0 < length <= 64 - used % 64
+        done[d] += length
+        used += length
+    assert done == [len(d) for d in docs]
+
+
 def test_packing_fills_with_best_neighbours():
     docs, stats = corpus_of_topics()
     pieces = list(packing.arrange(docs, 505, 505, stats))
