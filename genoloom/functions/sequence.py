@@ -24,23 +24,30 @@ def revcomp(s: Column) -> Column:
     return F.translate(F.reverse(F.upper(s)), "ACGTU", "TGCAA")
 
 
+# Bits 1 and 2 of their codes tell A, C, T (or U) and G apart: 0, 1, 2, 3. The code in that order:
+_BY_BITS = "".join(AMINO_ACIDS[BASES.index(a) * 16 + BASES.index(b) * 4 + BASES.index(c)] for a in "ACTG" for b in "ACTG" for c in "ACTG")
+
+
 def _of_codon(codon: Column) -> Column:
-    """One letter for three bases in upper case, with T for U; X for anything else."""
-    place = [F.instr(F.lit(BASES), F.substring(codon, i, 1)) for i in (1, 2, 3)]
-    index = (place[0] - 1) * 16 + (place[1] - 1) * 4 + place[2]
-    good = (F.char_length(codon) == 3) & (place[0] > 0) & (place[1] > 0) & (place[2] > 0)
-    return F.when(good, F.substr(F.lit(AMINO_ACIDS), index, F.lit(1))).otherwise("X")
+    """One letter for three characters, each of ACGTU in upper case or N; X where there is an N."""
+    bits = lambda c: F.shiftright(F.ascii(c), 1).bitwiseAND(F.lit(3))
+    index = bits(codon) * 16 + bits(F.substring(codon, 2, 1)) * 4 + bits(F.substring(codon, 3, 1)) + 1
+    return F.when(F.instr(codon, "N") > 0, "X").otherwise(F.substr(F.lit(_BY_BITS), index, F.lit(1)))
+
+
+def _bases(s: Column) -> Column:
+    """Bases in upper case; anything else is N."""
+    return F.regexp_replace(F.translate(s, "acgtu", "ACGTU"), "(?s)[^ACGTU]", "N")
 
 
 def amino_acid(codon: Column) -> Column:
     """One letter for three bases (U as T); X for anything else."""
-    return _of_codon(F.translate(F.upper(codon), "U", "T"))
+    return F.when(F.char_length(codon) == 3, _of_codon(_bases(codon))).otherwise("X")
 
 
 def translated(s: Column, frame: Column) -> Column:
     """Amino acids of the codons from ``frame`` on; a partial codon is dropped. One pass over the sequence."""
-    bases = F.translate(F.substr(s, (frame + 1).cast("int")), "tcaguU", "TCAGTT")
-    codons = F.regexp_extract_all(bases, F.lit("(?s).{3}"), F.lit(0))
+    codons = F.regexp_extract_all(_bases(F.substr(s, (frame + 1).cast("int"))), F.lit(".{3}"), F.lit(0))
     return F.when(frame >= F.char_length(s), "").otherwise(F.array_join(F.transform(codons, _of_codon), ""))
 
 
