@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoloom.llm.common import Workspace, need
-from genoloom.llm.tokens import default_vocabulary, encoder
+from genoloom.llm.tokens import default_vocabulary, encoder, forget
 
 WINDOW = 2048
 #: Ids of a shard, 16 MB, and postings (distinct ids of each document), which take some 50 bytes each; a shard may hold one longer document.
@@ -321,6 +321,7 @@ def arrange(docs: list[np.ndarray], gap: int, window: int, stats: Stats, terms:
 def _pack(batches, window: int, with_ids: bool, stats: Stats, shard_ids: int):
     from pyspark import TaskContext
 
+    forget()  # a worker may have tokenised before
     base = TaskContext.get().partitionId() << 33
     names = [x.split()[0] for x in (PIECES_IDS if with_ids else PIECES).split(", ")]
     schema = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in names])

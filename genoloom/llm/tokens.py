@@ -15,8 +15,8 @@ from __future__ import annotations
 import os
 from array import array
 
-#: Words kept with their ids; beyond that the cache starts anew (results don't change).
-CACHE_WORDS = 1_200_000
+#: Words kept with their ids; beyond that only those used since stay (results don't change).
+CACHE_WORDS = 450_000
 #: Letters up to here belong to the same classes in every version of Unicode.
 LAST_LATIN = "\u024f"
 _ENCODERS: dict = {}
@@ -50,9 +50,20 @@ class Words(dict):
         self.before = before
         self.space = self.alphabet[0x20] if before else ""
         self.kind = kind
+        self.old: dict[str, bytes] = {}
         self.marks = {m: array(kind, [t.id for t in self.model(m)]).tobytes() for m in ".,;:!?"}
 
+    def renew(self, most: int) -> None:
+        """Beyond ``most`` words begin a new generation; words of the last one come back when asked for."""
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
+
     def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is not None:
+            self[word] = found
+            return found
         if word.isalpha():
             if word.isascii():
                 ids = [t.id for t in self.model(self.space + word)]
@@ -87,7 +98,6 @@ class Encoder:
         self.kind = "H" if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else "I"
         self.dtype = f"<u{array(self.kind).itemsize}"
         self.words, self.heads = Words(self.tokenizer, self.kind, " "), Words(self.tokenizer, self.kind, "")
-        self.heads[""] = b""
         self.line = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
@@ -98,11 +108,9 @@ class Encoder:
         if any(mark in text for mark in self.added) or "\n\n\n" in text or text.endswith("\n\n"):
             return self.whole(text)
         words, heads = self.words, self.heads
-        if len(words) > CACHE_WORDS:
-            words.clear()
-        if len(heads) > CACHE_WORDS // 4:
-            heads.clear()
-            heads[""] = b""
+        words.renew(CACHE_WORDS)
+        heads.renew(CACHE_WORDS // 4)
+        heads[""] = b""
         out = []
         try:
             for line in text.split("\n"):
@@ -115,6 +123,11 @@ class Encoder:
         return self.line.join(out)
 
 
+def forget() -> None:
+    """Free the words that this worker remembers."""
+    _ENCODERS.clear()
+
+
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a vocabulary file."""
     if path not in _ENCODERS:

@@ -270,7 +270,7 @@ def _trigrams(batches):
     for batch in batches:
         for text in batch.column(0):
             words.update((text.as_py() or "").lower().split())
-            if len(words) > 1_000_000:
+            if len(words) > 250_000:
                 yield counted()
     if words:
         yield counted()
@@ -295,7 +295,7 @@ def _feature_counts(batches, counts: dict):
             into = bad if toxic else good
             for f in reader.read(text.as_py() or ""):
                 into[f] = into.get(f, 0.0) + weight
-            if len(bad) + len(good) > 1_500_000:
+            if len(bad) + len(good) > 400_000:
                 yield flush()
     if bad or good:
         yield flush()
