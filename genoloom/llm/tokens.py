@@ -16,7 +16,7 @@ import os
 from array import array
 
 #: Words kept with their ids; beyond that only those used since stay (results don't change).
-CACHE_WORDS = 450_000
+CACHE_WORDS = 700_000
 #: Letters up to here belong to the same classes in every version of Unicode.
 LAST_LATIN = "\u024f"
 _ENCODERS: dict = {}
