@@ -33,6 +33,7 @@ CHAIN = 12
 MAGIC = b"BAM\1"
 BASES = "=ACMGRSVTWYHKDBN"
 OPS = "MIDNSHP=X"
+_BY_DIGIT = str.maketrans("0123456789abcdef", BASES)
 RECORD = "chrom string, pos long, mapq long, flag long, seq string, qual binary, cigar array<struct<op:string,len:int>>, _seq long"
 
 
@@ -108,7 +109,7 @@ def record(raw: bytes, at: int, contigs, number: int) -> tuple:
     cigar = [{"op": OPS[c & 15], "len": c >> 4} for c in struct.unpack_from(f"<{n_cigar}I", raw, p)]
     p += 4 * n_cigar
     packed = raw[p : p + (n_seq + 1) // 2]
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:n_seq]
+    seq = packed.hex().translate(_BY_DIGIT)[:n_seq]
     p += (n_seq + 1) // 2
     return (contigs[ref][0] if ref >= 0 else None, pos + 1, mapq, flag, seq, raw[p : p + n_seq], cigar, number)
 
