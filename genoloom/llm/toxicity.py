@@ -231,10 +231,13 @@ class Reader:
         if found is None:
             if len(self.cache) > CACHE:
                 self.cache.clear()
-            found = self.kept(f for r in self.readings(word) for f in grams(r))
+            # without a list of features the readings are remembered, which are far fewer
+            found = tuple(self.readings(word))
+            if self.known is not None:
+                found = self.kept(f for r in found for f in grams(r))
             if len(word) <= PIECE:
                 self.cache[word] = found
-        return found
+        return found if self.known is not None else self.kept(f for r in found for f in grams(r))
 
     def read(self, text: str) -> set:
         """All features of a text."""
