@@ -172,40 +172,40 @@ def grams(word: str):
             yield marked[i : i + n]
 
 
-def inner_grams(letters: str):
-    """Features of letters whose word ends aren't known."""
-    for n in GRAMS:
-        for i in range(len(letters) - n + 1):
-            yield letters[i : i + n]
-
-
 class Reader:
     """A text's features: those of its words and of the restored readings of those that look disguised.
 
-    ``known``: only these features count, by number; without them all do.
+    ``names``: only these features count, by number, found by an Aho-Corasick
+    automaton; without them all do, as text.
     """
 
-    def __init__(self, counts: dict[str, int], known: dict[str, int] | None = None) -> None:
+    def __init__(self, counts: dict[str, int], names: list[str] | None = None) -> None:
         self.model = CharModel(counts)
-        self.known = known
-        self.cache: dict[str, tuple] = {}
-
-    def kept(self, features) -> tuple:
-        if self.known is None:
-            return tuple(set(features))
-        return tuple({self.known[f] for f in features if f in self.known})
+        self.matches = None
+        if names is not None:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for i, name in enumerate(names):
+                automaton.add_word(name, i)
+            if names:
+                automaton.make_automaton()
+            self.matches = automaton.iter if names else lambda text: ()
+        self.cache: dict[str, set[str]] = {}
+
+    def found(self, words, out: set) -> None:
+        """Add the features of whole words."""
+        if self.matches is None:
+            for w in words:
+                out.update(grams(w))
+        else:
+            # ends are marked, so no feature reaches from one word into the next
+            out.update([i for _, i in self.matches("^" + "$^".join(words) + "$")])
 
     def readings(self, word: str) -> set[str]:
-        """What a word, in lower case, may be: itself without outer marks, and what it may disguise."""
+        """What a word in lower case that isn't plain letters may be: itself without outer marks, and what it may disguise."""
         core = word.rstrip(_TAIL).lstrip(_HEAD)
-        if not core:
-            return set()
-        if not core.isascii():
-            plain = folded(core)
-            found = {core} if core.isalpha() else set()
-            # only what is plain by now is read on, so this ends
-            return found | self.readings(plain) if plain != core and plain.isascii() else found | self._decoded(core)
-        found = set()
+        found: set[str] = set()
         if core.isalpha():
             found.add(core)
             if _DOUBLED.search(core):
@@ -226,87 +226,103 @@ class Reader:
         pieces = [core] if len(core) <= PIECE else [core[i : i + PIECE] for i in range(0, len(core) - OVERLAP, PIECE - OVERLAP)]
         return {r for p in pieces for r in restore(p, self.model)}
 
-    def features(self, word: str) -> tuple:
+    def remembered(self, word: str) -> set[str]:
         found = self.cache.get(word)
         if found is None:
             if len(self.cache) > CACHE:
                 self.cache.clear()
-            # without a list of features the readings are remembered, which are far fewer
-            found = tuple(self.readings(word))
-            if self.known is not None:
-                found = self.kept(f for r in found for f in grams(r))
+            found = self.readings(word)
             if len(word) <= PIECE:
                 self.cache[word] = found
-        return found if self.known is not None else self.kept(f for r in found for f in grams(r))
+        return found
 
     def read(self, text: str) -> set:
         """All features of a text."""
         low = text.lower()
+        words = set(low.split())
+        if not low.isascii():
+            words.update(folded(low).split())
+        plain, odd = [], []
+        for w in words:
+            core = w if w.isalpha() else w.rstrip(_TAIL).lstrip(_HEAD)
+            if core.isalpha():
+                plain.append(core)
+                if _DOUBLED.search(core):
+                    odd.append(core)
+            elif core:
+                odd.append(w)
+        for w in odd:
+            plain += self.remembered(w)
         out: set = set()
-        for w in set(low.split()):
-            out.update(self.features(w))
+        self.found(plain, out)
         for m in _SPACED.finditer(low):
             letters = m[0].replace(" ", "")
             if any(c in LETTERS for c in letters):
                 for i in range(0, max(1, len(letters) - OVERLAP), PIECE - OVERLAP):
                     for r in restore(letters[i : i + PIECE], self.model):
-                        out.update(self.kept(f for x in (inner_grams(r), grams(r)) for f in x))
+                        self.found([r], out)
         return out
 
 
-def _trigrams(batches):
-    """Trigrams of all words of letters a-z, as often as they occur."""
-    schema = pa.schema([("gram", pa.string()), ("n", pa.int64())])
-    words: Counter = Counter()
-
-    def counted():
-        total: Counter = Counter()
-        for w, n in words.items():
-            w = w.rstrip(_TAIL).lstrip(_HEAD)
-            if w.isascii() and w.isalpha():
-                p = f"  {w} "
-                for i in range(len(p) - 2):
-                    total[p[i : i + 3]] += n
-        words.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], schema=schema)
+#: A byte's letter, 1 to 26, or 0.
+_LETTER = np.zeros(256, np.int32)
+_LETTER[97:123] = _LETTER[65:91] = np.arange(1, 27)
 
+
+def _trigrams(batches):
+    """Trigrams of all runs of letters a-z, two marks before and one after, as often as they occur."""
+    total = np.zeros(27**3, np.int64)
     for batch in batches:
         for text in batch.column(0):
-            words.update((text.as_py() or "").lower().split())
-            if len(words) > 250_000:
-                yield counted()
-    if words:
-        yield counted()
-
-
-def _feature_counts(batches, counts: dict):
-    """In how many rows of either label a feature occurs, by the rows' weights."""
+            raw = text.as_buffer() if text.is_valid else None
+            for at in range(0, len(raw) if raw is not None else 0, 1 << 22):
+                # pieces share two letters, so that each trigram ends in one piece
+                part = np.frombuffer(raw, np.uint8)[max(0, at - 2) : at + (1 << 22) + (1 if at + (1 << 22) >= len(raw) else 0)]
+                c = np.r_[np.zeros(0 if at else 2, np.int32), _LETTER[part], np.zeros(1 if at + (1 << 22) >= len(raw) else 0, np.int32)]
+                first, second, third = c[:-2], c[1:-1], c[2:]
+                code = (np.where(second > 0, first, 0) * 27 + second) * 27 + third
+                total += np.bincount(code[(second > 0) | (third > 0)], minlength=27**3)
+    found = np.flatnonzero(total)
+    marks = " " + LETTERS
+    names = [marks[i // 729] + marks[i // 27 % 27] + marks[i % 27] for i in found.tolist()]
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(total[found])], names=["gram", "n"])
+
+
+def _features(batches, counts: dict):
+    """In how many rows a feature occurs, by the rows' weights."""
     reader = Reader(counts)
-    schema = pa.schema([("feature", pa.string()), ("bad", pa.float64()), ("good", pa.float64())])
-    bad: dict[str, float] = {}
-    good: dict[str, float] = {}
+    schema = pa.schema([("feature", pa.string()), ("n", pa.float64())])
+    total: dict[str, float] = {}
 
     def flush():
-        names = list(bad | good)
-        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([bad.get(x, 0.0) for x in names], pa.float64()), pa.array([good.get(x, 0.0) for x in names], pa.float64())], schema=schema)
-        bad.clear()
-        good.clear()
+        out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], schema=schema)
+        total.clear()
         return out
 
     for batch in batches:
-        for text, toxic, weight in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            into = bad if toxic else good
+        for text, weight in zip(batch.column(0), batch.column(1).to_pylist()):
             for f in reader.read(text.as_py() or ""):
-                into[f] = into.get(f, 0.0) + weight
-            if len(bad) + len(good) > 400_000:
+                total[f] = total.get(f, 0.0) + weight
+            if len(total) > 400_000:
                 yield flush()
-    if bad or good:
+    if total:
         yield flush()
 
 
-def _rows(batches, counts: dict, known: dict):
+def _held(batches, counts: dict, names: list):
+    """In how many rows each of the named features occurs, by the rows' weights."""
+    reader = Reader(counts, names)
+    total = np.zeros(len(names))
+    for batch in batches:
+        for text, weight in zip(batch.column(0), batch.column(1).to_pylist()):
+            total[list(reader.read(text.as_py() or ""))] += weight
+    found = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["i", "n"])
+
+
+def _rows(batches, counts: dict, names: list):
     """Each labelled row's features by number."""
-    reader = Reader(counts, known)
+    reader = Reader(counts, names)
     for batch in batches:
         found = [sorted(reader.read(t.as_py() or "")) for t in batch.column(0)]
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "weight", "found"])
@@ -372,23 +388,27 @@ def fit(docs: DataFrame, labels: DataFrame, space: Workspace, most_rows: int = M
     told = {r.toxic: r.weight for r in train.groupBy("toxic").agg(F.sum("weight").alias("weight")).collect()}
     bad_rows, good_rows = told.get(True, 0.0), told.get(False, 0.0)
     if not bad_rows or not good_rows:
-        return {"counts": counts, "known": {}, "weights": np.array([30.0 if bad_rows else -30.0]), "names": []}
-    items = train.mapInArrow(partial(_feature_counts, counts=counts), "feature string, bad double, good double").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    telling = items.where((F.col("bad") >= MIN_SUPPORT) & (F.col("bad") >= MIN_PRECISION * (F.col("bad") + F.col("good"))))
+        return {"counts": counts, "weights": np.array([30.0 if bad_rows else -30.0]), "names": []}
+    # features of enough toxic rows, then their counts in the others; the sample bounds how many there are
+    bad = train.where("toxic").select("text", "weight").mapInArrow(partial(_features, counts=counts), "feature string, n double").groupBy("feature").agg(F.sum("n").alias("n"))
     # rounded, as sums of weights depend on their order in the last places
-    names = chosen([(r.feature, round(r.bad, 6), round(r.good, 6)) for r in telling.orderBy("feature").collect()], bad_rows, good_rows)
-    known = {f: i for i, f in enumerate(names)}
+    items = {r.feature: round(r.n, 6) for r in bad.where(F.col("n") >= MIN_SUPPORT - 1e-9).orderBy("feature").collect()}
+    names = list(items)
+    good = train.where("not toxic").select("text", "weight").mapInArrow(partial(_held, counts=counts, names=names), "i int, n double").groupBy("i").agg(F.sum("n").alias("n"))
+    others = {r.i: round(r.n, 6) for r in good.collect()}
+    telling = [(f, items[f], others.get(i, 0.0)) for i, f in enumerate(names) if items[f] >= MIN_PRECISION * (items[f] + others.get(i, 0.0))]
+    names = chosen(telling, bad_rows, good_rows)
     sums: dict = {}
-    rows = train.mapInArrow(partial(_rows, counts=counts, known=known), "toxic boolean, weight double, found array<int>")
+    rows = train.mapInArrow(partial(_rows, counts=counts, names=names), "toxic boolean, weight double, found array<int>")
     for r in rows.groupBy("toxic", "found").agg(F.sum("weight").alias("weight")).orderBy("found", "toxic").collect():
         both = sums.setdefault(tuple(r.found), [0.0, 0.0])
         both[0 if r.toxic else 1] += round(r.weight, 6)
     weights = logistic([(k, *v) for k, v in sums.items()], len(names))
-    return {"counts": counts, "known": known, "weights": weights, "names": names}
+    return {"counts": counts, "weights": weights, "names": names}
 
 
 def _score(batches, model: dict):
-    reader = Reader(model["counts"], model["known"])
+    reader = Reader(model["counts"], model["names"])
     weights, names = model["weights"], model["names"]
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("found", pa.string()), ("text_hash", pa.int64())])
     for batch in batches:

@@ -443,7 +443,7 @@ def test_long_disguises_take_linear_time_and_memory():
     import time
     import tracemalloc
 
-    reader = toxicity.Reader({"  i": 5, " id": 5, "idi": 5}, {"idiot": 0})
+    reader = toxicity.Reader({"  i": 5, " id": 5, "idi": 5}, ["^idiot$"])
     for text in ("1" + "a4b0" * 25_000, " ".join("s t u p i d" for _ in range(20_000)), "a" * 200_000, "a.b-" * 50_000, "x1 " * 100_000):
         tracemalloc.start()
         began = time.process_time()
@@ -457,6 +457,33 @@ def test_features_of_disguises(text, word):
     reader = toxicity.Reader(toy_model().counts)
     got = reader.read(text)
     assert f"^{word}$" in got or word[1:4] in got
+    named = toxicity.Reader(toy_model().counts, sorted(got))
+    assert named.read(text) == set(range(len(got)))
+
+
+def test_named_features_are_the_same():
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choices("abio1.é$", k=rng.randint(1, 7))) for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    plain = toxicity.Reader(toy_model().counts)
+    every = sorted(set().union(*(plain.read(t) for t in texts)))
+    named = toxicity.Reader(toy_model().counts, every[::3])
+    for t in texts:
+        assert {every[::3][i] for i in named.read(t)} == plain.read(t) & set(every[::3])
+
+
+def test_trigrams_are_counted():
+    import pyarrow as pa
+
+    texts = ["abc d", None, "", "x", "Aé9bb c", "a" * 9]
+    want = Counter()
+    import re
+
+    for t in texts:
+        for w in re.findall("[a-z]+", (t or "").lower()):
+            p = f"  {w} "
+            want.update(p[i : i + 3] for i in range(len(p) - 2))
+    batch = next(iter(toxicity._trigrams([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    assert dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())) == want
 
 
 def test_logistic_is_the_plain_fit():
