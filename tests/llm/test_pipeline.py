@@ -28,10 +28,11 @@ def plain(docs):
     return rows_of(docs)
 
 
-def test_toxicity(spark, duck, docs, plain):
-    found = toxicity.toxicity(docs, spark.read.parquet(f"{duck.base}/labels.parquet")).collect()
-    bad = {r.doc_id for r in found if r.score >= 0.5}
-    assert bad and rows_of(STAGE["toxicity"](spark, docs, duck.base)) == [r for r in plain if r[0] not in bad]
+def test_toxicity(spark):
+    base = "/root/testdata/sf0.01"  # the smallest tables hold too few toxic rows
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    bad = {r.doc_id for r in toxicity.toxicity(docs, spark.read.parquet(f"{base}/labels.parquet")).collect() if r.score >= 0.5}
+    assert bad and rows_of(STAGE["toxicity"](spark, docs, base)) == [r for r in rows_of(docs) if r[0] not in bad]
 
 
 def brute_exact(rows):
