@@ -138,7 +138,7 @@ def source_records(spark: SparkSession, q: ast.Query, variables: dict) -> DataFr
         other = variant_source(spark, q.pair.format, path_of(q.pair.path, variables), False)
         return isec(variant_source(spark, fmt, path, False), other, q.pair.mode)
     if q.call is None:
-        return empty(spark, "empty")
+        return empty(spark, record_kind(ast.Query(q.source)))
     if q.call == "header":
         if fmt not in ("bam", "vcf"):
             raise EngineError("SourceFormat", f"{fmt} has no header")

@@ -522,6 +522,7 @@ def oracle_sql() -> dict:
         "sink_array": v + "SELECT chrom, pos, ref, alt, depth FROM v",
         "read_vcf": v + "SELECT chrom, pos, ref, alt, CAST(printf('%.4f', allele_freq) AS DOUBLE) AS af, id, kind FROM v WHERE CAST(printf('%.4f', allele_freq) AS DOUBLE) >= 0.2 AND filter = 'PASS'",
         "read_vcf_region": v + "SELECT chrom, pos, ref, alt FROM v WHERE chrom = 'A' AND pos BETWEEN 2000 AND 30000",
+        "read_vcf_without_call": v + "SELECT chrom, pos, ref, alt, qual, depth, allele_freq FROM v WHERE false",
         "read_vcf_split": """WITH a AS (SELECT p_partkey * 10 AS p, p_size AS d, p_size % 2 = 0 AS more FROM part)
             SELECT p + 1 AS pos, 'C' AS ref, 'G' AS alt, CAST(d AS BIGINT) AS depth, 0.5::DOUBLE AS allele_freq, 'SNV' AS kind, 'PASS' AS filter, 0.0::DOUBLE AS qual FROM a
             UNION ALL SELECT p, 'A', 'T', d, 0.25, 'SNV', 'PASS', 0.0 FROM a UNION ALL SELECT p, 'AC', 'A', d, 0.125, 'INDEL', 'PASS', 0.0 FROM a

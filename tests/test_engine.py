@@ -246,3 +246,12 @@ def test_streamed_files(spark, small, tmp_path):
     q = variants_stream(spark, str(tmp_path / "in")).where("depth > 95").writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("seen").count() == 3
+
+
+def test_records_without_call_can_be_written(spark, small, tmp_path):
+    """No CALL gives no records, but a frame with the format's columns, which files can hold."""
+    found = engine.run(spark, f'FROM vcf "{small}"').df
+    found.write.parquet(f"{tmp_path}/none")
+    back = spark.read.parquet(f"{tmp_path}/none")
+    assert back.columns == engine.run(spark, f'FROM vcf "{small}" CALL variants').df.columns and back.count() == 0
+    assert rows(spark, f'FROM vcf "{small}" WHERE pos > 100 SELECT pos, af') == []
