@@ -2,16 +2,19 @@
 
 ``write`` makes one file, row by row from an iterator, so the driver holds a
 batch of rows at most; ``directory`` writes all formats but the array in
-parallel, as parts in any store Spark writes.
+parallel, as parts in any store Spark writes. An array in such a store is
+written in parallel too; the driver then joins the parts as bytes.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import uuid
 from dataclasses import replace
 from itertools import chain
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import VariantVal
 
@@ -179,6 +182,8 @@ def write(planned, fmt: str, path: str, contigs=()) -> str:
     """Write all rows to one file, of the driver or, with a scheme, of any store; the summary line. The plan runs once."""
     if fmt not in WRITERS:
         raise EngineError("UnsupportedInto", f"can't write {fmt}")
+    if fmt == "fasta" and "://" in path:
+        return f"wrote {_array_of_parts(planned, path)} record(s) to {path} ({fmt})"
     found = iter(rows(planned))
     first = next(found, None)
     counted = _Counted(found if first is None else chain([first], found))
@@ -189,6 +194,51 @@ def write(planned, fmt: str, path: str, contigs=()) -> str:
     return f"wrote {counted.n} record(s) to {path} ({fmt})"
 
 
+def _objects(planned):
+    """Each row's JSON object as a column ``value``; NaN and infinities are null."""
+    df = planned.df
+    keys = [(k, c) for k, c in (planned.keys or tuple((c, c) for c in planned.columns)) if c in df.columns]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def value(c):
+        x = F.col(f"`{c}`")
+        return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x) if kinds[c] in ("double", "float") else x
+
+    return df.select(F.to_json(F.struct(*[value(c).alias(k) for k, c in keys]), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def _array_of_parts(planned, path: str) -> int:
+    """A JSON array on one line, its rows written as parts beside it and joined there; the number of rows. The plan runs once."""
+    if planned.unordered:
+        planned = replace(planned, df=planned.df.orderBy("_seq"))
+    spark = planned.df.sparkSession
+    jvm = spark._jvm
+    folder = f"{path}.parts-{uuid.uuid4().hex}"
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen = Observation()
+    try:
+        _objects(planned).observe(seen, F.count(F.lit(1)).alias("n")).write.option("lineSep", ",").text(folder)
+        parts = [f for f in fs.listStatus(at) if f.getPath().getName().startswith("part-") and f.getLen()]
+        parts.sort(key=lambda f: f.getPath().getName())
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(path), True)
+        try:
+            out.write(bytearray(b"["))
+            for i, f in enumerate(parts, 1):
+                part = fs.open(f.getPath())
+                try:
+                    # all but the comma after the last row
+                    jvm.org.apache.commons.io.IOUtils.copyLarge(part, out, 0, f.getLen() - (i == len(parts)))
+                finally:
+                    part.close()
+            out.write(bytearray(b"]\n"))
+        finally:
+            out.close()
+    finally:
+        fs.delete(at, True)
+    return seen.get["n"]
+
+
 def _short(df, name: str):
     """``short`` as a column; a last digit may differ where the fifth decimal is an exact 5."""
     kind = df.schema[name].dataType.simpleString()

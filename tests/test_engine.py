@@ -255,3 +255,24 @@ def test_records_without_call_can_be_written(spark, small, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/none")
     assert back.columns == engine.run(spark, f'FROM vcf "{small}" CALL variants').df.columns and back.count() == 0
     assert rows(spark, f'FROM vcf "{small}" WHERE pos > 100 SELECT pos, af') == []
+
+
+def test_array_in_a_store_is_written_by_tasks(spark, tmp_path, monkeypatch):
+    """The same array as row by row, none of it through the driver's iterator, and read back whole."""
+    from genoloom import queries, sinks
+    from genoloom.plans.lower import Planned
+
+    odd = [(i, name, x) for i, (name, x) in enumerate([("a", 1.5), ('},{"id":', 0.0), ('"},{"id":"', None), ("[", float("nan")), ("}]", float("inf")), ("é\n", -2.0), (None, 3.25)] * 30)]
+    frame = spark.createDataFrame(odd, "id long, name string, x double").repartitionByRange(7, "id").sortWithinPartitions("id")
+    planned = Planned(frame, "row", ["id", "name", "x"], True)
+    sinks.write(planned, "fasta", f"{tmp_path}/one.json")
+    want = json.load(open(f"{tmp_path}/one.json"))
+    monkeypatch.setattr(sinks, "rows", None)
+    assert sinks.write(planned, "fasta", f"file://{tmp_path}/many.json").startswith("wrote 210 record(s)")
+    assert json.load(open(f"{tmp_path}/many.json")) == want and open(f"{tmp_path}/many.json").read().count("\n") == 1
+    back = queries.array_rows(spark, f"{tmp_path}/many.json", "id", "id long, name string, x double").orderBy("id").collect()
+    assert [r.asDict() for r in back] == want
+    sinks.write(Planned(frame.limit(0), "row", ["id"], True), "fasta", f"file://{tmp_path}/none.json")
+    assert open(f"{tmp_path}/none.json").read() == "[]\n"
+    assert queries.array_rows(spark, f"{tmp_path}/none.json", "id", "id long").count() == 0
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["many.json", "none.json", "one.json"]
