@@ -1,28 +1,35 @@
 """Near copies by shingle similarity, for the pipeline's stage.
 
 Texts are sets of word shingles; two are near copies if the sets' exact Jaccard
-similarity reaches a bound. MinHash bands only propose: texts that share all
+similarity reaches a bound. Two ways propose pairs, and each proposed pair is
+then held against the texts' shingles.
+
+SimHash: the Gray-order index of ``simhash`` gives spanning forests of the
+fingerprints, over the same shingles, that differ in at most three bits. Pairs
+of similarity 0.8 differ in about ten, where no half of 64 bits is selective.
+
+So MinHash bands propose too: texts that share all
 minima of a band meet in a bucket, and a pair of similarity 0.8 shares none of
-the BANDS with a chance of (1 - 0.8 ** ROWS) ** BANDS, about 7e-5. Each proposed
-pair is then held against the texts' shingles.
+the BANDS with a chance of (1 - 0.8 ** ROWS) ** BANDS, about 7e-5.
 
 In a bucket of at most ALL texts every pair is compared. In a larger one, texts
 are compared with leaders, one at first and twice as many each round; a leader
 and those like it leave the bucket, the others go on until none is left. So a
 group of copies of any size costs some rows for each text, not the square. Two
-that left a large bucket for leaders not alike meet only in other buckets.
+that left a large bucket for leaders not alike meet only in other buckets, or
+by their fingerprints.
 """
 
 from __future__ import annotations
 
 from functools import partial
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genoloom.llm import simhash
 from genoloom.llm.common import Workspace, need, text_bytes, text_hash
 from genoloom.llm.graph import components
 
@@ -33,13 +40,16 @@ ALL = 8
 SEED = 42
 
 
-def shingles(text: bytes, words: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles; a shorter text is one shingle."""
+def distinct(raw: bytes) -> np.ndarray:
+    """A set of shingles from their hashes; a text without words is one empty shingle."""
     import xxhash
 
-    w = text.lower().split()
-    grams = map(b" ".join, zip(*[w[i:] for i in range(words)])) if len(w) >= words else [b" ".join(w)]
-    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))), ">u8").astype(np.uint64))
+    return np.unique(np.frombuffer(raw or xxhash.xxh64_digest(b"", SEED), ">u8").astype(np.uint64))
+
+
+def shingles(text: bytes, words: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles; a shorter text is one shingle."""
+    return distinct(simhash.digests(text, words))
 
 
 def _factors() -> np.ndarray:
@@ -60,14 +70,17 @@ def bands(found: np.ndarray, factors: np.ndarray) -> list[int]:
 
 def _prints(batches, words: int):
     factors = _factors()
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
     for batch in batches:
-        n, keys = [], []
+        n, fps, keys = [], [], []
         for text in batch.column(2):
-            found = shingles(text.as_py(), words)
+            raw = simhash.digests(text.as_py(), words)
+            found = distinct(raw)
             n.append(len(found))
+            fps.append(simhash.majority(raw))
             keys.append(bands(found, factors))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+        fp = pa.array(np.array(fps, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), fp, pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
 
 def _sets(batches, words: int):
@@ -86,13 +99,34 @@ def _sets(batches, words: int):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
 
 
+def close_prints(prints: DataFrame, space: Workspace) -> DataFrame:
+    """Pairs (a, b) of text hashes that SimHash proposes: a text with the first of its fingerprint, and firsts as the index links them."""
+    each = prints.select("fp", F.col("text_hash").alias("id")).distinct()
+    first = space.put(each.groupBy("fp").agg(F.min("id").alias("first")), "fingerprints")
+    same = each.join(first, "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    named = lambda end: first.select(F.col("fp").alias(f"fp_{end}"), F.col("first").alias(end))
+    linked = simhash.links(first.select("fp"), space).toDF("fp_a", "fp_b").where("fp_a <> fp_b").distinct()
+    met = linked.join(named("a"), "fp_a").join(named("b"), "fp_b")
+    return same.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
+def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are alike; a pair of sets at a time, inside the join's own stage."""
+    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("found").alias("of_b")), "b")
+    both = with_b.join(sets.select(F.col("id").alias("a"), F.col("found").alias("of_a")), "a").select("a", "b", "of_a", "of_b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(shared / (F.size("of_a") + F.size("of_b") - shared) >= least).select("a", "b")
+
+
 def links(bare: DataFrame, prints: DataFrame, space: Workspace, words: int, least: float) -> DataFrame:
     """Pairs (a, b) of text hashes of near copies; their components are the classes, but for what leaders lose."""
     entries = prints.dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("id"), "n", F.explode("bands").alias("bucket"))
     left = space.put(entries.join(entries.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket"), "entries-0")
-    texts = bare.select(F.col("text_hash").alias("id"), "text").join(left.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    close = space.put(close_prints(prints, space), "close")
+    wanted = left.select("id").unionByName(close.select(F.col("a").alias("id"))).unionByName(close.select(F.col("b").alias("id"))).distinct()
+    texts = bare.select(F.col("text_hash").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"])
     sets = space.put(texts.mapInArrow(partial(_sets, words=words), "id long, found array<long>"), "sets")
-    found = None
+    found = space.put(alike(close, sets, least), "links-close")
     turn, leaders = 0, 1
     while not left.isEmpty():
         sizes = left.groupBy("bucket").count()
@@ -106,18 +140,13 @@ def links(bare: DataFrame, prints: DataFrame, space: Workspace, words: int, leas
         # sets of sizes further apart can't be alike
         near = met.where(F.least("n", "head_n") / F.greatest("n", "head_n") >= least)
         pairs = near.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-        with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("found").alias("of_b")), "b")
-        both = with_b.join(sets.select(F.col("id").alias("a"), F.col("found").alias("of_a")), "a").select("a", "b", "of_a", "of_b")
-        # a pair of sets at a time, inside the join's own stage
-        shared = F.size(F.array_intersect("of_a", "of_b"))
-        alike = shared / (F.size("of_a") + F.size("of_b") - shared) >= least
-        same = space.put(both.where(alike).select("a", "b"), f"links-{turn}")
-        found = same if found is None else found.unionByName(same)
+        same = space.put(alike(pairs, sets, least), f"links-{turn}")
+        found = found.unionByName(same)
         told = led.join(same.select(F.col("a").alias("head"), F.col("b").alias("id")), ["head", "id"], "left_semi").unionByName(led.where("head = id").select("head", "id", "bucket", "n", "head_n"))
         rest = led.select("bucket", "id", "n").distinct().join(told.select("bucket", "id").distinct(), ["bucket", "id"], "left_anti")
         left = space.put(rest, f"entries-{turn + 1}")
         turn, leaders = turn + 1, leaders * 2
-    return space.spark.createDataFrame([], "a long, b long") if found is None else found
+    return found
 
 
 def near_copies(docs: DataFrame, words: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -130,6 +159,6 @@ def near_copies(docs: DataFrame, words: int = SHINGLE, least: float = LEAST) ->
     """
     space = Workspace(docs.sparkSession, "near-copies")
     bare = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), text_bytes().alias("text"))
-    prints = space.put(bare.mapInArrow(partial(_prints, words=words), "doc_id long, text_hash long, n long, bands array<long>"), "prints")
+    prints = space.put(bare.mapInArrow(partial(_prints, words=words), "doc_id long, text_hash long, n long, fp long, bands array<long>"), "prints")
     found = components(links(bare, prints, space, words, least), space)
     return prints.join(found, F.col("text_hash") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))

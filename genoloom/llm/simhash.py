@@ -42,15 +42,19 @@ MOST_SHARDS = 200_000
 BLOCK = 1024
 
 
-def fingerprint(text: bytes, words: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats counted."""
+def digests(text: bytes, words: int = SHINGLE) -> bytes:
+    """The 64-bit hashes of a text's word shingles, repeats included; none of a text without words."""
     import xxhash
 
     w = text.lower().split()
     if not w:
-        return 0
+        return b""
     grams = map(b" ".join, zip(*[w[i:] for i in range(words)])) if len(w) >= words else [b" ".join(w)]
-    raw = b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED)))
+    return b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED)))
+
+
+def majority(raw: bytes) -> int:
+    """The 64 bits that over half of these hashes have; zero of none."""
     n = len(raw) // 8
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 65_536):
@@ -59,6 +63,11 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def fingerprint(text: bytes, words: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats counted."""
+    return majority(digests(text, words))
+
+
 def _fingerprints(batches, words: int):
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_hash", pa.int64())])
     for batch in batches:

@@ -55,3 +55,34 @@ def test_large_buckets_take_rounds(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()) == survivors(docs) == [g * 100 for g in range(12)]
     assert near_copies.near_copies(frame.limit(0)).count() == 0
+
+
+def test_fingerprints_propose_and_sets_decide(spark, monkeypatch):
+    """Without any band in common, near copies within three bits are still found through the SimHash index, and only alike ones."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    texts = []
+    for i in range(40):
+        words = [f"t{i}w{rng.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join(words + ["more"]), " ".join(words * 2), " ".join(words[:200])]
+    frame = spark.createDataFrame(list(enumerate([*texts, "", "one"])), "doc_id long, text string")
+    prints = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    sets = [grams(t) for t in texts]
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    want = {(i, j) for i, j in near if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert len(want) > 30
+    # bands of their own for every text, so only fingerprints propose
+    put = near_copies.Workspace.put
+
+    def apart(self, df, name):
+        if name == "prints":
+            df = df.withColumn("bands", F.array(F.xxhash64("doc_id", "text_hash")))
+        return put(self, df, name)
+
+    monkeypatch.setattr(near_copies.Workspace, "put", apart)
+    root = {r.doc_id: r.root for r in near_copies.near_copies(frame).collect()}
+    label = np.arange(len(texts) + 2)
+    simhash.unite(label, *map(np.array, zip(*want)))
+    assert len(root) == len(label)
+    assert [[root[i] == root[j] for j in range(i)] for i in range(len(label))] == [[bool(label[i] == label[j]) for j in range(i)] for i in range(len(label))]
