@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Upper to lower case for A-Z only; other letters stay as they are.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Spark deletes a query's shuffle files when the query ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,9 +47,14 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back, which cuts its lineage."""
-        df.write.mode("overwrite").parquet(self.path(name))
+    def put(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """Write ``df`` and read it back, which cuts its lineage; ``free``: its shuffles' files go at once, not when the driver collects garbage."""
+        before = self.spark.conf.get(FREE)
+        try:
+            self.spark.conf.set(FREE, str(free or before == "true").lower())
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(FREE, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

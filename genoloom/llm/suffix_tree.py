@@ -14,11 +14,12 @@ The tree is never in one place. Each position of each text (its context words,
 its next symbol, its text) goes once to the task that owns the subtree of its
 last word; there the subtree grows level by level over sorted arrays, and the
 positions are scored in it. A last word of ``hot`` occurrences or more would
-overfill a task; its positions are dealt by two words, or by more, and the few
-states above are fitted first and sent to all tasks: at most one context per
-``HOT_SHARE`` of all tokens, with the successors, numbered or RARE,
-that hold that share (a hot context's rarer successors share what is left in the shorter state's
-proportions; everything else is exact).
+overfill a task; its positions are dealt by two words, or by more, and the
+contexts above are fitted first. All counts of their successors, by
+last word and successor, are dealt over tasks (``_counted``); the driver gets one number a
+hot context, whether it is a state. Each subtree's task is then sent the counts of just the
+pairs of a hot context and a successor that its positions hold, so scores are
+the same whatever is hot.
 
 Symbols. Words with ``SYMBOL_SHARE`` of the tokens are numbered, a million at
 most; which ones doesn't change a score. Words that occur less often than a context must can't be part of one and are one symbol,
@@ -45,10 +46,8 @@ from genoloom.llm.common import Workspace, need, text_bytes
 #: Words with this share of all tokens are numbered, so a million at most; their numbers end at NUMBERED.
 SYMBOL_SHARE = 1e-6
 NUMBERED = 1 << 20
-#: A hot context, and a successor kept for it, have at least this share of all tokens (a million at most, each depth).
-HOT_SHARE = 1e-6
-#: Contexts of HOT occurrences are hot; in smaller corpora those of HOT_LARGE of all tokens, so that the states above are alike, but none below HOT_LEAST.
-HOT, HOT_LARGE, HOT_LEAST = 500_000, 0.005, 50_000
+#: Contexts of HOT occurrences and of this share of all tokens are hot (a million at most, each depth), which doesn't change a score.
+HOT, HOT_SHARE = 500_000, 1e-6
 MAX_WORDS = 4
 LEAST_CONTEXT = 3
 LEAST_TOTAL = 2.0
@@ -189,7 +188,7 @@ def _flushes(batches, code, columns: tuple[int, ...]):
 
 
 def hot_counts(sym: np.ndarray, hot_words: int, max_words: int):
-    """(depth, contexts, symbols, counts) of contexts made of hot words only, with each successor that is numbered or RARE (-1: with any)."""
+    """(depth, contexts, the contexts a word shorter, counts) of contexts made of hot words only."""
     hot = (sym > END) & (sym < 2 + hot_words)
     place = np.arange(len(sym))
     run = place - np.maximum.accumulate(np.where(hot, -1, place))
@@ -197,20 +196,65 @@ def hot_counts(sym: np.ndarray, hot_words: int, max_words: int):
     use, h = place, np.zeros(len(sym), np.uint64)
     for d in range(1, max_words + 1):
         alive = run[use] >= d
-        use, h = use[alive], h[alive]
+        use, shorter = use[alive], h[alive]
         if not len(use):
             return
         word = sym[use - d].astype(np.uint64)
-        h = mixed((mixed(word) & np.uint64(0xFFFF) if d > 2 else word) ^ h)
-        u, inv, n = np.unique(h, return_inverse=True, return_counts=True)
-        numbered = sym[use] < NUMBERED
-        key, k = np.unique(inv[numbered].astype(np.uint64) << np.uint64(32) | sym[use][numbered], return_counts=True)
-        context = np.concatenate([u, u[(key >> np.uint64(32)).astype(np.int64)]]).view(np.int64)
-        yield d, context, np.concatenate([np.full(len(u), -1, np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)]), np.concatenate([n, k])
+        h = mixed((mixed(word) & np.uint64(0xFFFF) if d > 2 else word) ^ shorter)
+        u, first, n = np.unique(h, return_index=True, return_counts=True)
+        yield d, u.view(np.int64), shorter[first].view(np.int64), n
+
+
+class Hot:
+    """The hot contexts, numbered by depth, then by hash: their hashes, totals, which are states, and each one's suffixes."""
+
+    def __init__(self, found: list[tuple], max_words: int) -> None:
+        """``found``: (depth, context, the context a word shorter, count) of each hot context."""
+        depth, context, shorter, n = (np.array(c, kind) for c, kind in zip(list(zip(*found)) or [()] * 4, (np.int64, np.int64, np.int64, np.float64)))
+        context, shorter = context.view(np.uint64), shorter.view(np.uint64)
+        self.contexts, self.begin, totals, chains_of = [], [], [], []
+        for d in range(1, max_words + 1):
+            mine = np.flatnonzero(depth == d)
+            mine = mine[np.argsort(context[mine])]
+            self.begin.append(sum(map(len, self.contexts)))
+            self.contexts.append(context[mine])
+            chain = np.full((len(mine), max_words), -1)
+            if d > 1 and len(mine):
+                chain[:, : d - 1] = chains_of[-1][np.searchsorted(self.contexts[d - 2], shorter[mine]), : d - 1]
+            chain[:, d - 1] = self.begin[-1] + np.arange(len(mine))
+            totals.append(n[mine])
+            chains_of.append(chain)
+        self.total, self.chain = np.concatenate(totals), np.concatenate(chains_of)
+        self.state = np.zeros(len(self.total), bool)
+        #: depths that have hot contexts
+        self.depths = sum(len(c) > 0 for c in self.contexts)
+
+    def number(self, hashes: list[np.ndarray], depth: np.ndarray) -> np.ndarray:
+        """The longest hot context of positions that have one."""
+        out = np.zeros(len(depth), np.int64)
+        for d in range(self.depths):
+            mine = np.flatnonzero(depth == d + 1)
+            out[mine] = self.begin[d] + np.searchsorted(self.contexts[d], hashes[d][mine])
+        return out
+
+    def weights(self, number: np.ndarray, k: np.ndarray, depths: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, depth of the state) in the states of at most ``depths`` words, of successors that occur ``k`` times after each suffix."""
+        a, b, deep = np.zeros(len(number)), np.ones(len(number)), np.zeros(len(number), np.uint8)
+        for d in range(depths):
+            own = self.chain[number, d]
+            use = np.flatnonzero((own >= 0) & self.state[own])
+            n = self.total[own[use]] + KAPPA
+            a[use] = (k[use, d] + KAPPA * a[use]) / n
+            b[use] = KAPPA * b[use] / n
+            deep[use] = d + 1
+        return a, b, deep
 
 
 class Upper:
-    """The states of hot contexts: for each depth sorted (context, symbol) keys with counts, totals and back-off factors."""
+    """States from counts in one place: for each depth sorted (context, symbol) keys with counts, totals and back-off factors.
+
+    Successors left out share the rest. No query uses it any more, as ``Hot`` needs none left out.
+    """
 
     def __init__(self, max_words: int) -> None:
         none = np.zeros(0, np.uint64)
@@ -289,6 +333,134 @@ def _kinds(max_words: int) -> list:
     return [np.uint32] * min(2, max_words) + [np.uint16] * max(0, max_words - 2) + [np.uint8, np.uint32, np.uint32]
 
 
+def _dealt(hashes: list[np.ndarray], length: np.ndarray, depth: np.ndarray, after: np.ndarray, block: int, groups: int) -> np.ndarray:
+    """The group of each position: by its shortest context that isn't hot; if all are, any group will do."""
+    owner = mixed(after.astype(np.uint64) + (np.uint64(block) << np.uint64(32)))
+    for d in range(len(hashes)):
+        last = (depth == d + 1) & (length == d + 1)
+        owner[last] ^= hashes[d][last]
+        mine = (depth == d) & (length > d)
+        owner[mine] = hashes[d][mine]
+    return (mixed(owner) % np.uint64(groups)).astype(np.int32)
+
+
+def _packed(columns) -> bytes:
+    return pa.compress(b"".join(map(_planes, columns)), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, *parts: tuple) -> list[np.ndarray]:
+    """Columns from ``_packed``, of (kind, length) each."""
+    sizes = [np.dtype(kind).itemsize * n for kind, n in parts]
+    plain, at, out = memoryview(pa.decompress(raw, decompressed_size=sum(sizes), codec="zstd")), 0, []
+    for (kind, n), size in zip(parts, sizes):
+        out.append(_unplaned(plain[at : at + size], kind, n))
+        at += size
+    return out
+
+
+ASKS = "bucket int, pairs int, asks int, packed binary"
+
+
+def _asks(batches, symbols: Symbols, hot: Hot, groups: int, buckets: int, max_words: int):
+    """Pairs of a position's longest hot context and its next symbol, with their training counts, and the groups that ask for each; by bucket.
+
+    All pairs with a last word and a next symbol lie in one bucket.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("pairs", pa.int32()), ("asks", pa.int32()), ("packed", pa.binary())])
+    for sym, sizes, (rows, held) in _flushes(batches, symbols.codes().__getitem__, (1, 2)):
+        back, length = chains(sym, max_words)
+        hashes = context_hashes(back)
+        depth = hot_depth(hashes, length, hot.contexts)
+        use = np.flatnonzero(depth)
+        if not len(use):
+            continue
+        hashes, length, depth, after = [h[use] for h in hashes], length[use], depth[use], sym[use]
+        group = _dealt(hashes, length, depth, after, rows[0], groups)
+        pair, of = np.unique(hot.number(hashes, depth).astype(np.uint64) << np.uint64(32) | after, return_inverse=True)
+        n = np.bincount(of[~np.repeat(np.array(held, bool), sizes)[use]], minlength=len(pair))
+        number, symbol = (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
+        bucket = (mixed(hot.chain[number, 0].astype(np.uint64) << np.uint64(32) | symbol) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        place = np.zeros(len(pair), np.uint64)
+        place[order] = np.arange(len(pair), dtype=np.uint64)
+        number, symbol, n, bucket = number[order], symbol[order], n[order].astype(np.uint32), bucket[order]
+        ask = np.unique(place[of] << np.uint64(32) | group.astype(np.uint64))
+        asker, asked = ask.astype(np.uint32), (ask >> np.uint64(32)).astype(np.int64)
+        found, first = np.unique(bucket, return_index=True)
+        ends = [*first[1:].tolist(), len(pair)]
+        edges = np.searchsorted(asked, [*first, len(pair)])
+        packed = [_packed((number[a:b], symbol[a:b], n[a:b], (asked[c:d] - a).astype(np.uint32), asker[c:d])) for a, b, c, d in zip(first.tolist(), ends, edges, edges[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(np.array(ends) - first, pa.int32()), pa.array(np.diff(edges), pa.int32()), pa.array(packed, pa.binary())], schema=schema)
+
+
+def _counted(table: pa.Table, hot: Hot) -> pa.Table:
+    """One bucket: its pairs with the successor's counts after the hot context and each of its suffixes, and who asks for them."""
+    pairs, counts, asked, askers, size = [], [], [], [], 0
+    for p, q, packed in zip(table.column("pairs").to_pylist(), table.column("asks").to_pylist(), table.column("packed")):
+        number, symbol, n, of, group = _unpacked(packed.as_py(), *[(np.uint32, p)] * 3, *[(np.uint32, q)] * 2)
+        pairs.append(number.astype(np.uint64) << np.uint64(32) | symbol)
+        counts.append(n)
+        asked.append(of.astype(np.uint64) + np.uint64(size))
+        askers.append(group)
+        size += p
+    pair, of = np.unique(np.concatenate(pairs), return_inverse=True)
+    n = np.bincount(of, np.concatenate(counts), minlength=len(pair))
+    ask = np.unique(np.concatenate(askers).astype(np.uint64) << np.uint64(32) | of[np.concatenate(asked).astype(np.int64)].astype(np.uint64))
+    number, symbol = (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
+    columns = []
+    for d in range(hot.depths):
+        own = hot.chain[number, d]
+        use = np.flatnonzero(own >= 0)
+        _, inv = np.unique(own[use].astype(np.uint64) << np.uint64(32) | symbol[use], return_inverse=True)
+        k = np.zeros(len(pair), np.uint64)
+        k[use] = np.bincount(inv, n[use])[inv].astype(np.uint64) if len(use) else 0
+        columns.append(k)
+    packed = _packed((number, symbol, *columns, (ask >> np.uint64(32)).astype(np.uint32), ask.astype(np.uint32)))
+    return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "pairs": pa.array([len(pair)], pa.int32()), "asks": pa.array([len(ask)], pa.int32()), "packed": pa.array([packed], pa.binary())})
+
+
+def _bucket(batch, i: int, hot: Hot) -> tuple:
+    """(numbers, symbols, counts by depth, groups in order, the pairs they ask for) of one bucket."""
+    p, q = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+    number, symbol, *k, group, of = _unpacked(batch.column(2)[i].as_py(), *[(np.uint32, p)] * 2, *[(np.uint64, p)] * hot.depths, *[(np.uint32, q)] * 2)
+    return number.astype(np.int64), symbol, np.stack(k, 1), group, of
+
+
+def _hot_gains(batches, hot: Hot, d: int, chance: np.ndarray, other: float):
+    """What the hot contexts of ``d`` + 1 words gain over their longest shorter states, by bucket."""
+    schema = pa.schema([("number", pa.int64()), ("gain", pa.float64())])
+    for batch in batches:
+        for i in range(batch.num_rows):
+            number, symbol, k, _, _ = _bucket(batch, i, hot)
+            use = np.flatnonzero((hot.chain[number, d] >= 0) & (k[:, d] > 0))
+            _, first = np.unique(hot.chain[number[use], d].astype(np.uint64) << np.uint64(32) | symbol[use], return_index=True)
+            one = use[first]
+            a, b, _ = hot.weights(number[one], k[one], d)
+            up = a + b * root_of(symbol[one], chance, other)
+            own, n = hot.chain[number[one], d], k[one, d].astype(float)
+            gain = n * np.log((n - 1 + KAPPA * up) / ((hot.total[own] - 1 + KAPPA) * up))
+            here, inv = np.unique(own, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(here, pa.int64()), pa.array(np.bincount(inv, gain, minlength=len(here)), pa.float64())], schema=schema)
+
+
+def _told(batches, hot: Hot):
+    """What each group asks for: numbers, symbols and counts, packed."""
+    schema = pa.schema([("grp", pa.int32()), ("pairs", pa.int32()), ("told", pa.binary())])
+    for batch in batches:
+        for i in range(batch.num_rows):
+            number, symbol, k, group, of = _bucket(batch, i, hot)
+            found, first = np.unique(group, return_index=True)
+            ends = [*first[1:].tolist(), len(group)]
+            told = [_packed((number[w].astype(np.uint32), symbol[w], *k[w].T.copy())) for w in (of[a:b] for a, b in zip(first.tolist(), ends))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(np.array(ends) - first, pa.int32()), pa.array(told, pa.binary())], schema=schema)
+
+
+def root_of(symbol: np.ndarray, chance: np.ndarray, other: float) -> np.ndarray:
+    """Root probabilities, an estimate for words that aren't numbered."""
+    numbered = symbol < NUMBERED
+    return np.where(numbered, chance[np.where(numbered, symbol, 0)], other)
+
+
 def _positions(batches, symbols: Symbols, hot: list[np.ndarray], groups: int, max_words: int):
     """Positions with a context, packed by group: of each its context words, their number, next symbol and text."""
     schema = pa.schema([("grp", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("packed", pa.binary())])
@@ -301,12 +473,7 @@ def _positions(batches, symbols: Symbols, hot: list[np.ndarray], groups: int, ma
         text, flag, after = text[use], flag[use], sym[use]
         hashes = context_hashes(back)
         depth = hot_depth(hashes, length, hot)
-        # the shortest context that isn't hot; if all are, any group will do
-        owner = mixed(text.astype(np.uint64) + np.uint64(rows[0]))
-        for d in range(max_words):
-            mine = (depth == d) & (length > d)
-            owner[mine] = hashes[d][mine]
-        group = (mixed(owner) % np.uint64(groups)).astype(np.int32)
+        group = _dealt(hashes, length, depth, after, rows[0], groups)
         # by group, then by context words, as far as 64 bits go, which compresses well
         second = mixed(back[1].astype(np.uint64)) >> np.uint64(48) if max_words > 1 else np.uint64(0)
         order = np.argsort(group.astype(np.uint64) << np.uint64(32) | mixed(back[0].astype(np.uint64)) >> np.uint64(48) << np.uint64(16) | second, kind="stable")
@@ -365,12 +532,33 @@ def grow(hashes: list[np.ndarray], length: np.ndarray, after: np.ndarray, train:
     return a, b, deep
 
 
+def _weights_above(hashes: list[np.ndarray], depth: np.ndarray, after: np.ndarray, told: pa.Table | None, hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, depth) of each position from the states of hot contexts."""
+    a, b, deep = np.zeros(len(depth)), np.ones(len(depth)), np.zeros(len(depth), np.uint8)
+    use = np.flatnonzero(depth)
+    if not len(use):
+        return a, b, deep
+    parts = [_unpacked(raw.as_py(), *[(np.uint32, n)] * 2, *[(np.uint64, n)] * hot.depths) for n, raw in zip(told.column("pairs").to_pylist(), told.column("told"))]
+    number, symbol, *k = (np.concatenate(c) for c in zip(*parts))
+    pair = number.astype(np.uint64) << np.uint64(32) | symbol
+    order = np.argsort(pair)
+    pair, k = pair[order], np.stack(k, 1)[order]
+    own = hot.number([h[use] for h in hashes], depth[use])
+    asked = own.astype(np.uint64) << np.uint64(32) | after[use]
+    at = np.minimum(np.searchsorted(pair, asked), len(pair) - 1)
+    if (pair[at] != asked).any():
+        raise ValueError("a group lacks counts of its hot contexts")
+    a[use], b[use], deep[use] = hot.weights(own, k[at], hot.depths)
+    return a, b, deep
+
+
 GAINS = "block long, n int, packed binary, word array<long>, word_row array<long>, word_a array<double>, word_b array<double>"
 
 
-def _grow_and_score(table: pa.Table, upper: Upper, chance: np.ndarray, other: float, max_words: int) -> pa.Table:
+def _grow_and_score(table: pa.Table, told: pa.Table | None, hot: Hot, chance: np.ndarray, other: float, max_words: int) -> pa.Table:
     """One group: what each text's positions here gain over the root, by block of texts.
 
+    ``told``: the counts of its pairs of hot contexts and next symbols.
     A position whose next symbol isn't numbered and has a count here needs its
     word's own root probability; it is returned with (a, b).
     """
@@ -388,11 +576,10 @@ def _grow_and_score(table: pa.Table, upper: Upper, chance: np.ndarray, other: fl
     block = np.repeat(np.arange(len(sizes)), sizes)
     train, length = length < 128, length & 127
     hashes = context_hashes(back)
-    depth = hot_depth(hashes, length, upper.contexts)
-    numbered = after < NUMBERED
-    root = np.where(numbered, chance[np.where(numbered, after, 0)], other)
-    a, b, deep = grow(hashes, length, after, train, depth + 1, upper.weights(hashes, after, depth), root)
-    wait = ~numbered & (a > 0)
+    depth = hot_depth(hashes, length, hot.contexts)
+    root = root_of(after, chance, other)
+    a, b, deep = grow(hashes, length, after, train, depth + 1, _weights_above(hashes, depth, after, told, hot), root)
+    wait = (after >= NUMBERED) & (a > 0)
     gain = np.where(wait, 0.0, np.log10(np.where(wait, 1.0, a / root + b)))
     # positions come by block; within a block sum by text
     out: dict = {name.split()[0]: [] for name in GAINS.split(", ")}
@@ -430,7 +617,7 @@ def _sum_block(table: pa.Table) -> pa.Table:
     return pa.table({"row": pa.array(here.astype(np.int64) + table.column("block")[0].as_py()), "gain": pa.array(np.bincount(inv, gain[order].astype(float))), "deepest": pa.array(most.astype(np.int64))})
 
 
-ROOTS = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<long>, depth int, context long, symbol long, n long"
+ROOTS = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<long>, depth int, context long, shorter long, n long"
 
 
 def _score_root(batches, symbols: Symbols, chance: np.ndarray, hot_words: int, max_words: int):
@@ -444,7 +631,7 @@ def _score_root(batches, symbols: Symbols, chance: np.ndarray, hot_words: int, m
     number, digest, told = codes.get, xxhash.xxh64_intdigest, codes.__missing__
     unigram = np.log10(np.maximum(chance, 1e-300))
     unigram[RARE] = 0.0
-    fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.int64())), ("depth", pa.int32()), ("context", pa.int64()), ("symbol", pa.int64()), ("n", pa.int64())]
+    fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.int64())), ("depth", pa.int32()), ("context", pa.int64()), ("shorter", pa.int64()), ("n", pa.int64())]
     schema = pa.schema(fields)
 
     def rows(n, found):
@@ -471,22 +658,20 @@ def _score_root(batches, symbols: Symbols, chance: np.ndarray, hot_words: int, m
             "rare": pa.ListArray.from_arrays(pa.array(unknown.astype(np.int32)), pa.array(hashes))})
         if hot_words:
             train = ~np.repeat(np.array(held, bool), sizes)
-            for d, context, symbol, n in hot_counts(sym[train], hot_words, max_words):
-                counts.setdefault(d, []).append((context, symbol, n))
+            for d, context, shorter, n in hot_counts(sym[train], hot_words, max_words):
+                counts.setdefault(d, []).append((context, shorter, n))
                 if sum(len(c) for c, _, _ in counts[d]) > 2 * CHUNK:
                     counts[d] = [_added(counts[d])]
     for d, parts in counts.items():
-        context, symbol, n = _added(parts)
-        yield rows(len(n), {"depth": np.full(len(n), d), "context": context, "symbol": symbol, "n": n})
+        context, shorter, n = _added(parts)
+        yield rows(len(n), {"depth": np.full(len(n), d), "context": context, "shorter": shorter, "n": n})
 
 
 def _added(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts by (context, symbol), added up."""
-    context, symbol, n = (np.concatenate(p) for p in zip(*parts))
-    order = np.lexsort((symbol, context))
-    context, symbol, n = context[order], symbol[order], n[order]
-    first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])])
-    return context[first], symbol[first], np.add.reduceat(n, first)
+    """Counts by context, added up."""
+    context, shorter, n = (np.concatenate(p) for p in zip(*parts))
+    found, first, of = np.unique(context, return_index=True, return_inverse=True)
+    return found, shorter[first], np.bincount(of, n).astype(np.int64)
 
 
 def held_out_column(doc_id="doc_id"):
@@ -503,41 +688,21 @@ def _filter(vocabulary: DataFrame) -> bytes:
     return out.astype("<u8").tobytes()
 
 
-def _upper(counted: DataFrame, hot_words: int, hot: int, tokens: int, root: np.ndarray, max_words: int) -> Upper:
-    """The states above the groups, from ``counted`` contexts made of hot words."""
-    upper = Upper(max_words)
-    if not hot_words:
-        return upper
-    rows = counted.groupBy("depth", "context", "symbol").agg(F.sum("n").alias("n"))
-    # hot contexts, and successors with a share of all tokens: a million at most of either, each depth
-    least = F.when(F.col("symbol") < 0, F.lit(hot)).otherwise(F.lit(max(2.0, HOT_SHARE * tokens)))
-    table = rows.where(F.col("n") >= least).toArrow()
-    depth, context, symbol, n = (table[c].to_numpy() for c in ("depth", "context", "symbol", "n"))
-    context = context.view(np.uint64)
-    # the words of hot contexts, to find their suffixes: extend those of one word by hot words
-    words = np.arange(2, 2 + hot_words, dtype=np.uint32)
-    chains_of = {int(mixed(np.array([w], np.uint64))[0]): [int(w)] for w in words}
-    suffixes: dict = {}
-    for d in range(1, max_words + 1):
-        mine = np.flatnonzero((depth == d) & (symbol < 0))
-        mine = mine[np.argsort(context[mine])]
-        known = [i for i in mine if int(context[i]) in (chains_of if d == 1 else suffixes)]
-        if not known:
-            break
-        names = context[known]
-        of = np.searchsorted(names, context)
-        own = np.flatnonzero((depth == d) & (symbol >= 0) & (of < len(names)))
-        own = own[names[of[own]] == context[own]]
-        upper.add(d, names, n[known], of[own], symbol[own], n[own], suffixes, root)
-        longer: dict = {}
-        part = words if d < 2 else np.unique(mixed(words.astype(np.uint64)) & np.uint64(0xFFFF))
-        for c in names:
-            nearer = [*suffixes.get(int(c), ()), c]
-            for h in mixed(part.astype(np.uint64) ^ c).tolist():
-                longer[h] = nearer
-        present = set(context[depth == d + 1].tolist())
-        suffixes = {h: v for h, v in longer.items() if h in present}
-    return upper
+def _hot(counted: DataFrame, hot: int, max_words: int) -> Hot:
+    """The hot contexts among ``counted`` ones: a million at most, each depth."""
+    rows = counted.groupBy("depth", "context").agg(F.min("shorter").alias("shorter"), F.sum("n").alias("n")).where(F.col("n") >= hot)
+    return Hot([tuple(r) for r in rows.collect()], max_words)
+
+
+def _fit(asked: DataFrame, hot: Hot, chance: np.ndarray, other: float) -> None:
+    """Find the states among hot contexts, from all their successors; a depth after the other."""
+    pairs = asked.select("pairs", "asks", "packed")
+    for d in range(hot.depths):
+        gains = pairs.mapInArrow(partial(_hot_gains, hot=hot, d=d, chance=chance, other=other), "number long, gain double")
+        # decimals add up to the same in any order
+        total = gains.groupBy("number").agg(F.sum(F.col("gain").cast("decimal(38,10)")).cast("double").alias("gain"))
+        for r in total.where(F.col("gain") >= LEAST_TOTAL).collect():
+            hot.state[r.number] = True
 
 
 def score_documents(docs: DataFrame, max_words: int = MAX_WORDS, hot: int | None = None, group: int = GROUP) -> DataFrame:
@@ -574,14 +739,22 @@ def score_documents(docs: DataFrame, max_words: int = MAX_WORDS, hot: int | None
     mid_words, mid = told.v - told.few_words - len(counts), (told.n or 0) - (told.few or 0) - counts.sum()
     other = (mid / mid_words + 0.5) / norm if mid_words else 0.5 / norm
 
-    hot = max(hot or min(HOT, max(HOT_LEAST, int(HOT_LARGE * tokens))), int(HOT_SHARE * tokens))
+    hot = max(hot or HOT, LEAST_CONTEXT, int(HOT_SHARE * tokens))
     hot_words = int((counts >= hot).sum())
     roots = space.put(rows.select("text", "row", "doc_id", "held_out").mapInArrow(partial(_score_root, symbols=symbols, chance=chance, hot_words=hot_words, max_words=max_words), ROOTS), "roots")
-    upper = _upper(roots.where(F.col("depth").isNotNull()).select("depth", "context", "symbol", "n"), hot_words, hot, tokens, chance, max_words)
+    above = _hot(roots.where(F.col("depth").isNotNull()).select("depth", "context", "shorter", "n"), hot, max_words) if hot_words else Hot([], max_words)
     groups = max(1, -(-tokens * 5 // (4 * group)))
-    sent = rows.select("text", "row", "held_out").mapInArrow(partial(_positions, symbols=symbols, hot=upper.contexts, groups=groups, max_words=max_words), "grp int, block long, n int, packed binary")
-    grown = sent.groupBy("grp").applyInArrow(_grower(upper, chance, other, max_words), GAINS)
-    gains = space.put(grown, "gains")
+    texts = rows.select("text", "row", "held_out")
+    asked = None
+    if above.depths:
+        buckets = max(1, groups // 4)
+        asks = texts.mapInArrow(partial(_asks, symbols=symbols, hot=above, groups=groups, buckets=buckets, max_words=max_words), ASKS)
+        asked = space.put(asks.groupBy("bucket").applyInArrow(lambda table: _counted(table, above), ASKS), "asked", free=True)
+        _fit(asked, above, chance, other)
+    sent = texts.mapInArrow(partial(_positions, symbols=symbols, hot=above.contexts, groups=groups, max_words=max_words), "grp int, block long, n int, packed binary")
+    grown = _grown(sent, asked, above, chance, other, max_words)
+    gains = space.put(grown, "gains", free=True)
+    space.drop("asked")
 
     scored = roots.where(F.col("depth").isNull()).select("row", "doc_id", "held_out", "n_tokens", "known", "base", "rare")
     less = vocabulary.where(F.col("n") < numbered)
@@ -608,11 +781,19 @@ def score_documents(docs: DataFrame, max_words: int = MAX_WORDS, hot: int | None
         F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.coalesce("gain", zero)).alias("score"), F.coalesce("deepest", F.lit(0)).alias("deepest"))
 
 
-def _grower(upper: Upper, chance: np.ndarray, other: float, max_words: int):
-    def run(table):
-        return _grow_and_score(table, upper, chance, other, max_words)
+def _grown(sent: DataFrame, asked: DataFrame | None, hot: Hot, chance: np.ndarray, other: float, max_words: int) -> DataFrame:
+    """All groups grown and scored, with what they ask for of the hot contexts."""
+
+    def alone(table):
+        return _grow_and_score(table, None, hot, chance, other, max_words)
+
+    def both(table, told):
+        return _grow_and_score(table, told, hot, chance, other, max_words)
 
-    return run
+    if asked is None:
+        return sent.groupBy("grp").applyInArrow(alone, GAINS)
+    told = asked.select("pairs", "asks", "packed").mapInArrow(partial(_told, hot=hot), "grp int, pairs int, told binary")
+    return sent.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(both, GAINS)
 
 
 def op1_suffix_tree_scores(spark, sf_dir: str) -> DataFrame:

@@ -324,6 +324,15 @@ def test_hot_contexts_change_little(spark, phrases):
     assert hot.score.sum() - hot.base_score.sum() > 0.8 * (plain.score.sum() - plain.base_score.sum())
 
 
+@pytest.mark.parametrize("hot", [5, 60])
+def test_hot_contexts_are_the_brute_force_ones(spark, phrases, hot):
+    texts, docs = phrases
+    want = brute_tree(texts, [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))])
+    got = {r.doc_id: r for r in suffix_tree.score_documents(docs.repartition(3), hot=hot, group=50).collect()}
+    for i, (score, deepest) in enumerate(want):
+        assert got[i].score == pytest.approx(score, abs=1e-4) and got[i].deepest == deepest
+
+
 def test_states_of_hot_contexts_sum_to_one():
     n = 40
     root = np.random.default_rng(0).random(n)
