@@ -73,6 +73,7 @@ class Stats:
 
 
 def _tokenise(batches, vocabulary: str, end_id: int):
+    pa.default_memory_pool().release_unused()  # a worker may come from an earlier stage
     bpe = encoder(vocabulary)
     narrow = bpe.dtype == "<u2" and end_id < 1 << 16
     kind = "<u2" if narrow else "<u4"

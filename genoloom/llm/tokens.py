@@ -15,8 +15,8 @@ from __future__ import annotations
 import os
 from array import array
 
-#: Words kept with their ids; beyond that only those used since stay (results don't change).
-CACHE_WORDS = 700_000
+#: Words met again, and words met once, that are kept with their ids; beyond that only those used since, or met last, stay (results don't change).
+CACHE_WORDS, CACHE_ONCE = 340_000, 170_000
 #: Letters up to here belong to the same classes in every version of Unicode.
 LAST_LATIN = "\u024f"
 _ENCODERS: dict = {}
@@ -36,7 +36,9 @@ def byte_alphabet() -> str:
 class Words(dict):
     """Ids of a word with ``before`` (a space or nothing) before it, found when first asked for.
 
-    ``kind``: the array type code of ids, two bytes or four.
+    Most words of a corpus occur once, so a word becomes an item when it is met
+    again; until then it waits in ``once``. ``kind``: the array type code of
+    ids, two bytes or four.
     """
 
     def __init__(self, tokenizer, kind: str, before: str) -> None:
@@ -51,16 +53,21 @@ class Words(dict):
         self.space = self.alphabet[0x20] if before else ""
         self.kind = kind
         self.old: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
+        self.before_once: dict[str, bytes] = {}
         self.marks = {m: array(kind, [t.id for t in self.model(m)]).tobytes() for m in ".,;:!?"}
 
-    def renew(self, most: int) -> None:
-        """Beyond ``most`` words begin a new generation; words of the last one come back when asked for."""
+    def renew(self, most: int, most_once: int) -> None:
+        """Beyond ``most`` words, or ``most_once`` met once, begins a new generation; words of the last one come back when asked for."""
         if len(self) > most:
-            self.old = dict(self)
+            self.old.clear()
+            self.old.update(self)
             self.clear()
+        if len(self.once) > most_once:
+            self.once, self.before_once = {}, self.once
 
     def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
+        found = self.once.pop(word, None) or self.old.pop(word, None) or self.before_once.pop(word, None)
         if found is not None:
             self[word] = found
             return found
@@ -75,13 +82,13 @@ class Words(dict):
             raise KeyError(word)
         elif word[-1] in self.marks and word[:-1].isalpha():
             # letters and one mark are two pieces
-            self[word] = found = self[word[:-1]] + self.marks[word[-1]]
+            self.once[word] = found = self[word[:-1]] + self.marks[word[-1]]
             return found
         elif word.isascii() or max(word) <= LAST_LATIN:
             ids = [t.id for p in self.pieces(self.before + word) for t in self.model(p.encode().decode("latin-1").translate(self.alphabet))]
         else:
             ids = self.whole(self.before + word, add_special_tokens=False).ids
-        self[word] = found = array(self.kind, ids).tobytes()
+        self.once[word] = found = array(self.kind, ids).tobytes()
         return found
 
 
@@ -108,8 +115,8 @@ class Encoder:
         if any(mark in text for mark in self.added) or "\n\n\n" in text or text.endswith("\n\n"):
             return self.whole(text)
         words, heads = self.words, self.heads
-        words.renew(CACHE_WORDS)
-        heads.renew(CACHE_WORDS // 4)
+        words.renew(CACHE_WORDS, CACHE_ONCE)
+        heads.renew(CACHE_WORDS // 4, CACHE_ONCE // 4)
         heads[""] = b""
         out = []
         try:
@@ -124,8 +131,11 @@ class Encoder:
 
 
 def forget() -> None:
-    """Free the words that this worker remembers."""
+    """Free the words that this worker remembers, and what Arrow keeps for later."""
+    import pyarrow
+
     _ENCODERS.clear()
+    pyarrow.default_memory_pool().release_unused()
 
 
 def encoder(path: str) -> Encoder:

@@ -48,6 +48,16 @@ def test_encoder_is_the_library(text):
 _LIBRARY: dict = {}
 
 
+def test_encoder_keeps_few_of_the_words_met_once():
+    e = tokens.Encoder(tokens.default_vocabulary())
+    for at in range(0, 600_000, 5_000):
+        e.encode_one("again and " + " ".join(f"w{i}" for i in range(at, at + 5_000)))
+    kept = [e.words, *(x for x in vars(e.words).values() if isinstance(x, dict))]
+    assert sum(map(len, kept)) < 360_000 and "and" in e.words
+    text = "again and w0 w599999 w0 w0"
+    assert e.encode_one(text) == e.whole(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 60).flatmap(lambda b: st.integers(0, 2**b)) | st.integers(0, 2**64 - 1), max_size=300), max_size=6))
 def test_simple8b_round_trip(docs):
