@@ -53,6 +53,8 @@ LEAST_CONTEXT = 3
 LEAST_TOTAL = 2.0
 KAPPA = 5.0
 RARE, END = 0, 1
+#: Stands for the end among words; no word holds a blank.
+LINE = b"\n"
 #: Positions a task grows and scores together, about.
 GROUP = 750_000
 #: Tokens handled together.
@@ -112,11 +114,15 @@ class Codes(dict):
         import xxhash
 
         super().__init__(zip(symbols.words.to_pylist(), range(2, len(symbols.words) + 2)))
+        self[LINE] = END
         self.digest = xxhash.xxh64_intdigest
         self.filter = symbols.filter
+        self.met: list[int] | None = None  # where the hashes of words that aren't numbered go, as they come
 
     def __missing__(self, word: bytes) -> int:
         d = self.digest(word, SEED)
+        if self.met is not None:
+            self.met.append(d)
         bit = d & ((1 << FILTER_BITS) - 1)
         return code_of(d) if self.filter[bit >> 3] >> (bit & 7) & 1 else RARE
 
@@ -174,12 +180,12 @@ def _flushes(batches, code, columns: tuple[int, ...]):
     for batch in batches:
         text = batch.column(0)
         for i in range(batch.num_rows):
-            ids = list(map(code, text[i].as_py().lower().split()))
-            ids.append(END)
-            held.append(np.array(ids, np.uint32))
+            words = text[i].as_py().lower().split()
+            words.append(LINE)
+            held.append(np.fromiter(map(code, words), np.uint32, len(words)))
             for o, c in zip(others, columns):
                 o.append(batch.column(c)[i].as_py())
-            size += len(ids)
+            size += len(words)
             if size > CHUNK:
                 yield np.concatenate(held), np.array([len(h) for h in held]), others
                 held, others, size = [], [[] for _ in columns], 0
@@ -205,6 +211,21 @@ def hot_counts(sym: np.ndarray, hot_words: int, max_words: int):
         yield d, u.view(np.int64), shorter[first].view(np.int64), n
 
 
+def _hot_counts(batches, words: list[bytes], max_words: int):
+    """Counts of contexts made of hot words only, one row per context and stretch of input."""
+    schema = pa.schema([("depth", pa.int32()), ("context", pa.int64()), ("shorter", pa.int64()), ("n", pa.int64())])
+    number = dict(zip(words, range(2, len(words) + 2)))
+    counts: dict = {}
+    for sym, _, _ in _flushes(batches, lambda word, get=number.get: get(word, RARE), ()):
+        for d, *found in hot_counts(sym, len(words), max_words):
+            counts.setdefault(d, []).append(found)
+            if sum(len(c) for c, _, _ in counts[d]) > 2 * CHUNK:
+                counts[d] = [_added(counts[d])]
+    for d, parts in counts.items():
+        context, shorter, n = _added(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), d), pa.int32()), pa.array(context), pa.array(shorter), pa.array(n)], schema=schema)
+
+
 class Hot:
     """The hot contexts, numbered by depth, then by hash: their hashes, totals, which are states, and each one's suffixes."""
 
@@ -335,11 +356,13 @@ def _kinds(max_words: int) -> list:
 
 def _dealt(hashes: list[np.ndarray], length: np.ndarray, depth: np.ndarray, after: np.ndarray, block: int, groups: int) -> np.ndarray:
     """The group of each position: by its shortest context that isn't hot; if all are, any group will do."""
-    owner = mixed(after.astype(np.uint64) + (np.uint64(block) << np.uint64(32)))
+    owner = hashes[0].copy()
+    use = np.flatnonzero(depth)
+    many, most = depth[use], length[use]
     for d in range(len(hashes)):
-        last = (depth == d + 1) & (length == d + 1)
-        owner[last] ^= hashes[d][last]
-        mine = (depth == d) & (length > d)
+        last = use[(many == d + 1) & (most == d + 1)]
+        owner[last] = hashes[d][last] ^ mixed(after[last].astype(np.uint64) + (np.uint64(block) << np.uint64(32)))
+        mine = use[(many == d) & (most > d)]
         owner[mine] = hashes[d][mine]
     return (mixed(owner) % np.uint64(groups)).astype(np.int32)
 
@@ -361,36 +384,32 @@ def _unpacked(raw: bytes, *parts: tuple) -> list[np.ndarray]:
 ASKS = "bucket int, pairs int, asks int, packed binary"
 
 
-def _asks(batches, symbols: Symbols, hot: Hot, groups: int, buckets: int, max_words: int):
+def _asks(sym: np.ndarray, train: np.ndarray, block: int, hot: Hot, groups: int, buckets: int, max_words: int) -> dict:
     """Pairs of a position's longest hot context and its next symbol, with their training counts, and the groups that ask for each; by bucket.
 
     All pairs with a last word and a next symbol lie in one bucket.
     """
-    schema = pa.schema([("bucket", pa.int32()), ("pairs", pa.int32()), ("asks", pa.int32()), ("packed", pa.binary())])
-    for sym, sizes, (rows, held) in _flushes(batches, symbols.codes().__getitem__, (1, 2)):
-        back, length = chains(sym, max_words)
-        hashes = context_hashes(back)
-        depth = hot_depth(hashes, length, hot.contexts)
-        use = np.flatnonzero(depth)
-        if not len(use):
-            continue
-        hashes, length, depth, after = [h[use] for h in hashes], length[use], depth[use], sym[use]
-        group = _dealt(hashes, length, depth, after, rows[0], groups)
-        pair, of = np.unique(hot.number(hashes, depth).astype(np.uint64) << np.uint64(32) | after, return_inverse=True)
-        n = np.bincount(of[~np.repeat(np.array(held, bool), sizes)[use]], minlength=len(pair))
-        number, symbol = (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
-        bucket = (mixed(hot.chain[number, 0].astype(np.uint64) << np.uint64(32) | symbol) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        place = np.zeros(len(pair), np.uint64)
-        place[order] = np.arange(len(pair), dtype=np.uint64)
-        number, symbol, n, bucket = number[order], symbol[order], n[order].astype(np.uint32), bucket[order]
-        ask = np.unique(place[of] << np.uint64(32) | group.astype(np.uint64))
-        asker, asked = ask.astype(np.uint32), (ask >> np.uint64(32)).astype(np.int64)
-        found, first = np.unique(bucket, return_index=True)
-        ends = [*first[1:].tolist(), len(pair)]
-        edges = np.searchsorted(asked, [*first, len(pair)])
-        packed = [_packed((number[a:b], symbol[a:b], n[a:b], (asked[c:d] - a).astype(np.uint32), asker[c:d])) for a, b, c, d in zip(first.tolist(), ends, edges, edges[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(np.array(ends) - first, pa.int32()), pa.array(np.diff(edges), pa.int32()), pa.array(packed, pa.binary())], schema=schema)
+    back, length = chains(sym, max_words)
+    hashes = context_hashes(back[: hot.depths + 1])
+    depth = hot_depth(hashes, length, hot.contexts)
+    use = np.flatnonzero(depth)
+    hashes, length, depth, after = [h[use] for h in hashes], length[use], depth[use], sym[use]
+    group = _dealt(hashes, length, depth, after, block, groups)
+    pair, of = np.unique(hot.number(hashes, depth).astype(np.uint64) << np.uint64(32) | after, return_inverse=True)
+    n = np.bincount(of[train[use]], minlength=len(pair))
+    number, symbol = (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
+    bucket = (mixed(hot.chain[number, 0].astype(np.uint64) << np.uint64(32) | symbol) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    place = np.zeros(len(pair), np.uint64)
+    place[order] = np.arange(len(pair), dtype=np.uint64)
+    number, symbol, n, bucket = number[order], symbol[order], n[order].astype(np.uint32), bucket[order]
+    ask = np.unique(place[of] << np.uint64(32) | group.astype(np.uint64))
+    asker, asked = ask.astype(np.uint32), (ask >> np.uint64(32)).astype(np.int64)
+    found, first = np.unique(bucket, return_index=True)
+    ends = np.r_[first[1:], len(pair)] if len(first) else first
+    edges = np.searchsorted(asked, np.r_[first, len(pair)])
+    packed = [_packed((number[a:b], symbol[a:b], n[a:b], (asked[c:d] - a).astype(np.uint32), asker[c:d])) for a, b, c, d in zip(first, ends, edges, edges[1:])]
+    return {"bucket": found, "pairs": ends - first, "asks": np.diff(edges), "packed": packed}
 
 
 def _counted(table: pa.Table, hot: Hot) -> pa.Table:
@@ -471,12 +490,11 @@ def _positions(batches, symbols: Symbols, hot: list[np.ndarray], groups: int, ma
         use = np.flatnonzero(length)
         back, length = [c[use] for c in back], length[use]
         text, flag, after = text[use], flag[use], sym[use]
-        hashes = context_hashes(back)
+        hashes = context_hashes(back[: max(2, 1 + sum(len(h) > 0 for h in hot))])
         depth = hot_depth(hashes, length, hot)
         group = _dealt(hashes, length, depth, after, rows[0], groups)
-        # by group, then by context words, as far as 64 bits go, which compresses well
-        second = mixed(back[1].astype(np.uint64)) >> np.uint64(48) if max_words > 1 else np.uint64(0)
-        order = np.argsort(group.astype(np.uint64) << np.uint64(32) | mixed(back[0].astype(np.uint64)) >> np.uint64(48) << np.uint64(16) | second, kind="stable")
+        # by group, then by contexts, as far as 64 bits go, which compresses well
+        order = np.argsort(group.astype(np.uint64) << np.uint64(32) | hashes[0] >> np.uint64(48) << np.uint64(16) | hashes[min(1, len(hashes) - 1)] >> np.uint64(48), kind="stable")
         edges = np.searchsorted(group[order], np.arange(groups + 1)) if groups < 4 * len(order) + 4 else None
         if edges is None:
             found, first = np.unique(group[order], return_index=True)
@@ -617,54 +635,41 @@ def _sum_block(table: pa.Table) -> pa.Table:
     return pa.table({"row": pa.array(here.astype(np.int64) + table.column("block")[0].as_py()), "gain": pa.array(np.bincount(inv, gain[order].astype(float))), "deepest": pa.array(most.astype(np.int64))})
 
 
-ROOTS = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<long>, depth int, context long, shorter long, n long"
+ROOTS = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<long>, " + ASKS
 
 
-def _score_root(batches, symbols: Symbols, chance: np.ndarray, hot_words: int, max_words: int):
+def _score_root(batches, symbols: Symbols, chance: np.ndarray, hot: Hot, groups: int, buckets: int, max_words: int):
     """One row a text: its tokens, those numbered, their log10 root probability, the hashes of its other words.
 
-    And rows of their own (with a depth) for the training texts' counts of hot contexts.
+    And rows of their own (with a bucket) for what is counted of hot contexts.
     """
-    import xxhash
-
     codes = symbols.codes()
-    number, digest, told = codes.get, xxhash.xxh64_intdigest, codes.__missing__
     unigram = np.log10(np.maximum(chance, 1e-300))
     unigram[RARE] = 0.0
-    fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.int64())), ("depth", pa.int32()), ("context", pa.int64()), ("shorter", pa.int64()), ("n", pa.int64())]
+    fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.int64())), ("bucket", pa.int32()), ("pairs", pa.int32()), ("asks", pa.int32()), ("packed", pa.binary())]
     schema = pa.schema(fields)
 
     def rows(n, found):
         return pa.RecordBatch.from_arrays([pa.array(found[name], kind) if name in found else pa.nulls(n, kind) for name, kind in fields], schema=schema)
 
-    rare: list = []
     # words are dealt with in the runs' own order, so a run's rare words can be taken from the end of this list
-    def code(word):
-        found = number(word)
-        if found is None:
-            rare.append(digest(word, SEED))
-            return told(word)
-        return found
-
-    counts: dict = {}
-    for sym, sizes, (row, doc_id, held) in _flushes(batches, code, (1, 2, 3)):
-        starts = np.cumsum(np.r_[0, sizes])
-        other = (sym == RARE) | (sym >= NUMBERED)
-        unknown = np.concatenate([[0], np.cumsum(np.add.reduceat(other.astype(np.int64), starts[:-1]))])
-        hashes = np.array(rare, np.uint64).view(np.int64)
-        rare.clear()
-        yield rows(len(row), {
-            "row": row, "doc_id": doc_id, "held_out": held, "n_tokens": sizes, "known": sizes - np.diff(unknown), "base": np.add.reduceat(unigram[np.where(other, RARE, sym)], starts[:-1]),
-            "rare": pa.ListArray.from_arrays(pa.array(unknown.astype(np.int32)), pa.array(hashes))})
-        if hot_words:
-            train = ~np.repeat(np.array(held, bool), sizes)
-            for d, context, shorter, n in hot_counts(sym[train], hot_words, max_words):
-                counts.setdefault(d, []).append((context, shorter, n))
-                if sum(len(c) for c, _, _ in counts[d]) > 2 * CHUNK:
-                    counts[d] = [_added(counts[d])]
-    for d, parts in counts.items():
-        context, shorter, n = _added(parts)
-        yield rows(len(n), {"depth": np.full(len(n), d), "context": context, "shorter": shorter, "n": n})
+    codes.met = rare = []
+    try:
+        for sym, sizes, (row, doc_id, held) in _flushes(batches, codes.__getitem__, (1, 2, 3)):
+            starts = np.cumsum(np.r_[0, sizes])
+            other = (sym == RARE) | (sym >= NUMBERED)
+            unknown = np.concatenate([[0], np.cumsum(np.add.reduceat(other.astype(np.int64), starts[:-1]))])
+            hashes = np.array(rare, np.uint64).view(np.int64)
+            rare.clear()
+            yield rows(len(row), {
+                "row": row, "doc_id": doc_id, "held_out": held, "n_tokens": sizes, "known": sizes - np.diff(unknown), "base": np.add.reduceat(unigram[np.where(other, RARE, sym)], starts[:-1]),
+                "rare": pa.ListArray.from_arrays(pa.array(unknown.astype(np.int32)), pa.array(hashes))})
+            if hot.depths:
+                asks = _asks(sym, ~np.repeat(np.array(held, bool), sizes), row[0], hot, groups, buckets, max_words)
+                if asks["packed"]:
+                    yield rows(len(asks["packed"]), asks)
+    finally:
+        codes.met = None
 
 
 def _added(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -741,25 +746,27 @@ def score_documents(docs: DataFrame, max_words: int = MAX_WORDS, hot: int | None
 
     hot = max(hot or HOT, LEAST_CONTEXT, int(HOT_SHARE * tokens))
     hot_words = int((counts >= hot).sum())
-    roots = space.put(rows.select("text", "row", "doc_id", "held_out").mapInArrow(partial(_score_root, symbols=symbols, chance=chance, hot_words=hot_words, max_words=max_words), ROOTS), "roots")
-    above = _hot(roots.where(F.col("depth").isNotNull()).select("depth", "context", "shorter", "n"), hot, max_words) if hot_words else Hot([], max_words)
+    above = Hot([], max_words)
+    if hot_words:
+        hottest = frequent["word"][:hot_words].to_pylist()
+        above = _hot(train.mapInArrow(partial(_hot_counts, words=hottest, max_words=max_words), "depth int, context long, shorter long, n long"), hot, max_words)
     groups = max(1, -(-tokens * 5 // (4 * group)))
-    texts = rows.select("text", "row", "held_out")
+    buckets = max(1, groups // 4)
+    roots = space.put(rows.select("text", "row", "doc_id", "held_out").mapInArrow(partial(_score_root, symbols=symbols, chance=chance, hot=above, groups=groups, buckets=buckets, max_words=max_words), ROOTS), "roots")
     asked = None
     if above.depths:
-        buckets = max(1, groups // 4)
-        asks = texts.mapInArrow(partial(_asks, symbols=symbols, hot=above, groups=groups, buckets=buckets, max_words=max_words), ASKS)
+        asks = roots.where(F.col("bucket").isNotNull()).select("bucket", "pairs", "asks", "packed")
         asked = space.put(asks.groupBy("bucket").applyInArrow(lambda table: _counted(table, above), ASKS), "asked", free=True)
         _fit(asked, above, chance, other)
-    sent = texts.mapInArrow(partial(_positions, symbols=symbols, hot=above.contexts, groups=groups, max_words=max_words), "grp int, block long, n int, packed binary")
+    sent = rows.select("text", "row", "held_out").mapInArrow(partial(_positions, symbols=symbols, hot=above.contexts, groups=groups, max_words=max_words), "grp int, block long, n int, packed binary")
     grown = _grown(sent, asked, above, chance, other, max_words)
     gains = space.put(grown, "gains", free=True)
     space.drop("asked")
 
-    scored = roots.where(F.col("depth").isNull()).select("row", "doc_id", "held_out", "n_tokens", "known", "base", "rare")
+    scored = roots.where(F.col("bucket").isNull()).select("row", "doc_id", "held_out", "n_tokens", "known", "base", "rare")
     less = vocabulary.where(F.col("n") < numbered)
     hashed = less.groupBy(F.xxhash64("word").alias("hash")).agg(F.sum("n").alias("n"))
-    met = roots.where(F.col("depth").isNull()).select("row", F.explode("rare").alias("hash")).join(hashed, "hash", "left")
+    met = roots.where(F.col("bucket").isNull()).select("row", F.explode("rare").alias("hash")).join(hashed, "hash", "left")
     share = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(norm))
     zero = F.lit(0.0)
     rest = met.groupBy("row").agg(F.sum(share).alias("base"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("known"), F.lit(0.0).alias("gain"), F.lit(0).cast("long").alias("deepest"))
