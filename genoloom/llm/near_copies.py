@@ -12,12 +12,13 @@ So MinHash bands propose too: texts that share all
 minima of a band meet in a bucket, and a pair of similarity 0.8 shares none of
 the BANDS with a chance of (1 - 0.8 ** ROWS) ** BANDS, about 7e-5.
 
-In a bucket of at most ALL texts every pair is compared. In a larger one, texts
-are compared with leaders, one at first and twice as many each round; a leader
-and those like it leave the bucket, the others go on until none is left. So a
-group of copies of any size costs some rows for each text, not the square. Two
-that left a large bucket for leaders not alike meet only in other buckets, or
-by their fingerprints.
+In a bucket of at most ALL texts every pair is compared. In a larger one, all
+are compared with its most central text, the one whose buckets are fullest, so a
+group of copies of any size costs some rows for each text, not the square. Texts
+of large buckets that are still in different classes are then joined exactly.
+Shingles that a single class holds can't link two; of its other shingles, a text
+must share one of the rarest with any text of another class like it (a prefix
+filter), so only pairs that do are compared. No pair that shares a bucket is lost.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.llm import simhash
@@ -118,35 +119,62 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(shared / (F.size("of_a") + F.size("of_b") - shared) >= least).select("a", "b")
 
 
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), the lesser first."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def across(texts: DataFrame, sets: DataFrame, space: Workspace, least: float) -> DataFrame:
+    """Pairs (a, b) of ``texts`` (id, n, class) of different classes, all that can be alike and few more.
+
+    Sets of n_a and n_b shingles are alike if they share ``least`` / (1 + ``least``)
+    of n_a + n_b; these lie among the shingles that several classes hold. So if each
+    text's are put in one order, rarest first, the two share one early enough in
+    both that so many can follow.
+    """
+    sized = texts.join(texts.groupBy("class").agg(F.count(F.lit(1)).alias("size")), "class")
+    each = sized.join(sets, "id").select("id", "n", "class", "size", F.explode("found").alias("shingle"))
+    held, own = Window.partitionBy("shingle"), Window.partitionBy("id")
+    # top: the largest class that holds the shingle
+    marks = {"df": F.count(F.lit(1)), "low": F.min("class"), "high": F.max("class"), "top": F.max(F.struct("size", "class"))}
+    shared = each.select("*", *[x.over(held).alias(name) for name, x in marks.items()]).where("low <> high")
+    placed = shared.select("id", "n", "class", "shingle", F.col("top.class").alias("top"), F.row_number().over(own.orderBy("df", "shingle")).alias("place"), F.count(F.lit(1)).over(own).alias("all"))
+    # how many shingles remain from the place on; the slack is for rounding and only adds pairs
+    rare = placed.withColumn("rest", F.col("all") - F.col("place") + 1).where(F.col("rest") >= least * F.col("n") - 1e-6)
+    rare = space.put(rare.select("shingle", "id", "n", "class", "top", "rest"), "rare")
+    # pairs within a shingle's largest class are never formed
+    one = rare.where("class <> top").select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "class", "rest")])
+    two = rare.select("shingle", "top", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "class", "rest")])
+    met = one.join(two, "shingle").where("class_b = top or class_a < class_b").where(F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= least)
+    met = met.where(F.least("rest_a", "rest_b") >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-6)
+    return ordered(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+
+
 def links(bare: DataFrame, prints: DataFrame, space: Workspace, words: int, least: float) -> DataFrame:
-    """Pairs (a, b) of text hashes of near copies; their components are the classes, but for what leaders lose."""
+    """Pairs (a, b) of text hashes of near copies; their components are the classes."""
     entries = prints.dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("id"), "n", F.explode("bands").alias("bucket"))
-    left = space.put(entries.join(entries.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket"), "entries-0")
+    left = space.put(entries.join(entries.groupBy("bucket").count().where("count > 1"), "bucket"), "entries")
     close = space.put(close_prints(prints, space), "close")
     wanted = left.select("id").unionByName(close.select(F.col("a").alias("id"))).unionByName(close.select(F.col("b").alias("id"))).distinct()
     texts = bare.select(F.col("text_hash").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"])
     sets = space.put(texts.mapInArrow(partial(_sets, words=words), "id long, found array<long>"), "sets")
-    found = space.put(alike(close, sets, least), "links-close")
-    turn, leaders = 0, 1
-    while not left.isEmpty():
-        sizes = left.groupBy("bucket").count()
-        small = left.join(sizes.where(F.col("count") <= ALL), "bucket").select("bucket", "id", "n")
-        large = left.join(sizes.where(F.col("count") > ALL), "bucket").select("bucket", "id", "n")
-        slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(leaders))
-        heads = large.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("id", "n")).alias("head")).select("bucket", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"))
-        led = space.put(large.join(heads, "bucket").select("bucket", "id", "n", "head", "head_n"), f"led-{turn}")
-        other = small.select("bucket", F.col("id").alias("head"), F.col("n").alias("head_n"))
-        met = small.join(other, "bucket").where("head < id").unionByName(led.where("head <> id"))
-        # sets of sizes further apart can't be alike
-        near = met.where(F.least("n", "head_n") / F.greatest("n", "head_n") >= least)
-        pairs = near.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-        same = space.put(alike(pairs, sets, least), f"links-{turn}")
-        found = found.unionByName(same)
-        told = led.join(same.select(F.col("a").alias("head"), F.col("b").alias("id")), ["head", "id"], "left_semi").unionByName(led.where("head = id").select("head", "id", "bucket", "n", "head_n"))
-        rest = led.select("bucket", "id", "n").distinct().join(told.select("bucket", "id").distinct(), ["bucket", "id"], "left_anti")
-        left = space.put(rest, f"entries-{turn + 1}")
-        turn, leaders = turn + 1, leaders * 2
-    return found
+    small = left.where(F.col("count") <= ALL).select("bucket", "id", "n")
+    large = left.where(F.col("count") > ALL).select("bucket", "id", "n")
+    other = small.select("bucket", F.col("id").alias("head"), F.col("n").alias("head_n"))
+    central = large.join(left.groupBy("id").agg(F.sum("count").alias("fill")), "id")
+    heads = central.groupBy("bucket").agg(F.max(F.struct("fill", "id", "n")).alias("head")).select("bucket", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"))
+    met = small.join(other, "bucket").where("head < id").unionByName(large.join(heads, "bucket").where("head <> id"))
+    # sets of sizes further apart can't be alike
+    near = met.where(F.least("n", "head_n") / F.greatest("n", "head_n") >= least)
+    pairs = ordered(near.select(F.col("head").alias("a"), F.col("id").alias("b")).unionByName(close))
+    found = space.put(alike(pairs, sets, least), "links-met")
+    if large.isEmpty():
+        return found
+    known = large.join(components(found, space), F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("class"))
+    known = space.put(known, "known")
+    mixed = known.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+    apart = space.put(known.join(mixed, "bucket", "left_semi").select("id", "n", "class").distinct(), "apart")
+    return found.unionByName(space.put(alike(across(apart, sets, space, least), sets, least), "links-across"))
 
 
 def near_copies(docs: DataFrame, words: int = SHINGLE, least: float = LEAST) -> DataFrame:

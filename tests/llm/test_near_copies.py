@@ -86,3 +86,31 @@ def test_fingerprints_propose_and_sets_decide(spark, monkeypatch):
     simhash.unite(label, *map(np.array, zip(*want)))
     assert len(root) == len(label)
     assert [[root[i] == root[j] for j in range(i)] for i in range(len(label))] == [[bool(label[i] == label[j]) for j in range(i)] for i in range(len(label))]
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Chains and clouds whose ends aren't alike, in buckets of many texts: the classes of all pairs, without comparing all pairs."""
+    rng = random.Random(6)
+    texts = []
+    for c in range(3):
+        stem, run = ([f"{k}{c}w{i}" for i in range(200)] for k in "sr")
+        texts += [[*stem, *(run * 2)[4 * i : 4 * i + 60]] for i in range(40)]
+    stem = [f"s{i}" for i in range(140)]
+    for i in range(300):
+        copy = list(stem)
+        for at in rng.sample(range(140), 1 + i % 9):
+            copy[at] = f"e{rng.randrange(60)}"
+        texts.append(copy)
+    rng.shuffle(texts)
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    asked = []
+    alike = near_copies.alike
+
+    def counted(pairs, sets, least):
+        asked.append(pairs.count())
+        return alike(pairs, sets, least)
+
+    monkeypatch.setattr(near_copies, "alike", counted)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()) == survivors(docs)
+    assert sum(asked) < len(docs) * (len(docs) - 1) / 2 / 4
