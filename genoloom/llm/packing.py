@@ -88,8 +88,7 @@ def _tokenise(batches, vocabulary: str, end_id: int):
     out: list = []
     size = 0
     for batch in batches:
-        for doc_id, text in zip(batch.column(0), batch.column(1)):
-            raw = bpe.encode_one(text.as_py() or "")
+        for doc_id, raw in zip(batch.column(0), bpe.encode_many(text.as_py() or "" for text in batch.column(1))):
             if kind != bpe.dtype:
                 raw = np.frombuffer(raw, bpe.dtype).astype(kind).tobytes()
             raw += end
@@ -229,6 +228,18 @@ class Shard:
         for i, t in enumerate(common):
             at = slice(self.first[t], self.first[t] + self.df[t])
             self.matrix[i, self.doc[at]] = self.weight[at]
+        self.columns = np.arange(n)
+
+    def shrink(self, alive: np.ndarray) -> None:
+        """Once half of the documents are gone, only those ``alive`` are scored in full."""
+        if 2 * np.count_nonzero(alive) > len(self.columns):
+            return
+        self.matrix = self.matrix[:, alive[self.columns]]
+        self.columns = np.flatnonzero(alive)
+        keep = alive[self.doc]
+        at = np.concatenate([[0], np.cumsum(keep)])
+        self.first, self.df = at[self.first], at[self.first + self.df] - at[self.first]
+        self.doc, self.weight = self.doc[keep], self.weight[keep]
 
     def scores(self, seed: int) -> np.ndarray:
         """Every document's BM25 score for all terms of the seed, as often as it holds them."""
@@ -239,19 +250,25 @@ class Shard:
         at, times = at[row < 0], times[row < 0]
         many = self.df[at]
         places = np.repeat(self.first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        rest = np.bincount(self.doc[places], self.weight[places] * np.repeat(times, many), minlength=self.n)
-        return query @ self.matrix + rest
+        rest = np.bincount(self.doc[places], self.weight[places] * np.repeat(times, many), minlength=self.n).astype(float, copy=False)  # of nothing, whole numbers
+        rest[self.columns] += query @ self.matrix
+        return rest
+
+    def neighbours(self, seed: int, first: int = NEAREST, wanted=None):
+        """All documents by falling score, ties in shard order: the ``first`` ones (and their ties), then the rest, as they are asked for.
 
-    def neighbours(self, seed: int, first: int = NEAREST):
-        """All documents by falling score, ties in shard order: the ``first`` ones (and their ties), then the rest, as they are asked for."""
+        ``wanted``: gives, from the scores, a mask of the documents still worth a place; asked before each of the two.
+        """
         scores = self.scores(seed)
-        if self.n > 2 * first:
-            best = np.flatnonzero(scores >= np.partition(scores, self.n - first)[self.n - first])
-            yield best[np.argsort(-scores[best], kind="stable")]
-            scores[best] = np.inf
-            yield np.argsort(-scores, kind="stable")[len(best) :]
-        else:
-            yield np.argsort(-scores, kind="stable")
+        for most in (first, self.n):
+            some = np.arange(self.n) if wanted is None else np.flatnonzero(wanted(scores))
+            some = some[scores[some] >= 0]
+            best = scores[some]
+            if len(some) > 2 * most:
+                near = best >= np.partition(best, len(some) - most)[len(some) - most]
+                some, best = some[near], best[near]
+            yield some[np.argsort(-best, kind="stable")]
+            scores[some] = -1
 
 
 def arrange(docs: list[np.ndarray], gap: int, window: int, stats: Stats, terms: list | None = None):
@@ -272,6 +289,16 @@ def arrange(docs: list[np.ndarray], gap: int, window: int, stats: Stats, terms:
         return piece
 
     seed = None
+
+    def wanted(scores: np.ndarray) -> np.ndarray:
+        """What fits and, while no next seed is known, the best of what doesn't."""
+        mask = (left > 0) & (left <= gap)
+        if seed is None:
+            larger = np.flatnonzero(left > gap)
+            if len(larger):
+                mask[larger[np.argmax(scores[larger])]] = True
+        return mask
+
     while True:
         if seed is None or not left[seed]:
             while first < len(docs) and not left[first]:
@@ -287,7 +314,9 @@ def arrange(docs: list[np.ndarray], gap: int, window: int, stats: Stats, terms:
         gap -= int(left[seed])
         yield take(seed, int(left[seed]))
         seed = None
-        for ranked in index.neighbours(piece_of) if index else ():
+        if index:
+            index.shrink(left > 0)
+        for ranked in index.neighbours(piece_of, wanted=wanted) if index else ():
             for at in range(0, len(ranked), LOOK):
                 look = ranked[at : at + LOOK]
                 look = look[left[look] > 0]

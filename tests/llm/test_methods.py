@@ -48,6 +48,23 @@ def test_encoder_is_the_library(text):
 _LIBRARY: dict = {}
 
 
+@pytest.mark.parametrize("together, known", [(20_000, 400_000), (300, 40), (2_000, 300)])
+def test_many_texts_are_the_library(monkeypatch, together, known):
+    """Texts encoded together, while pieces are met again and forgotten, have the library's ids each, in order."""
+    monkeypatch.setattr(tokens, "TOGETHER", together)
+    monkeypatch.setattr(tokens, "KNOWN", known)
+    rng = np.random.default_rng(together)
+    odd = [" ", "\n", "\n\n", "\t", "a", "Bé", "été.", ".", "1", "don't", "\u3000", "中文", "\u00a0", "à", "<|endoftext|>", "\x85", "end.\nStart"]
+    words = [*odd, *[f"{rng.choice(odd)}{'abcdefg'[i % 7] * (i % 5)}{'xyzé'[i % 4]}" for i in range(300)]]
+    texts = [rng.choice(["", " ", "  "], p=[0.1, 0.85, 0.05]).join(rng.choice(words, rng.integers(0, 30))) for _ in range(1500)]
+    texts += ["", "\n", "one", " a", "a ", "a\n", "a\n\nb c"]
+    e = tokens.Encoder(tokens.default_vocabulary())
+    assert e.apart
+    for _ in range(2):
+        assert list(e.encode_many(texts)) == [e.whole(x) for x in texts]
+    assert len(e.known) == len(e.ids) == len(e.again) <= known
+
+
 def test_encoder_keeps_few_of_the_words_met_once():
     e = tokens.Encoder(tokens.default_vocabulary())
     for at in range(0, 600_000, 5_000):
@@ -165,6 +182,21 @@ def test_bm25_is_the_brute_force_one():
             assert sorted(found) == list(range(len(docs))) and all(want[a] >= want[b] - 1e-3 for a, b in zip(found, found[1:]))
 
 
+def test_shards_shrink_to_documents_left():
+    """Used documents leave the index; the scores of those left stay."""
+    docs, stats = corpus_of_topics()
+    shard = packing.Shard(docs, stats)
+    size = len(shard.doc)
+    alive = np.arange(len(docs)) % 3 == 0
+    shard.shrink(alive)
+    assert len(shard.doc) < size / 2 and shard.matrix.shape[1] == alive.sum()
+    for seed in range(0, len(docs), 5):
+        want = np.array(brute_bm25(docs, seed))
+        assert shard.scores(seed)[alive].tolist() == pytest.approx(want[alive].tolist(), rel=1e-4)
+        found = np.concatenate(list(shard.neighbours(seed, 5, lambda scores: alive))).tolist()
+        assert sorted(found) == np.flatnonzero(alive).tolist() and all(want[a] >= want[b] - 1e-3 for a, b in zip(found, found[1:]))
+
+
 def test_packing_keeps_every_id_of_large_shards():
     docs, stats = corpus_of_topics(3000)
     docs = [d[-(i % 37) - 1 :] for i, d in enumerate(docs)]
