@@ -17,10 +17,12 @@ document is scored.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterable
 from functools import partial
 
 import numpy as np
@@ -46,6 +48,8 @@ READINGS = 5
 PER_STATE = 3
 #: Characters decoded together; a longer word is decoded in pieces that share OVERLAP characters.
 PIECE, OVERLAP = 48, 12
+#: Patterns whose features the fit spreads out together.
+STRETCH = 500
 #: Words whose features a task remembers.
 CACHE = 300_000
 
@@ -309,9 +313,9 @@ def _features(batches, counts: dict):
         yield flush()
 
 
-def _held(batches, counts: dict, names: list):
+def _held(batches, counts: dict, names: pa.Array):
     """In how many rows each of the named features occurs, by the rows' weights."""
-    reader = Reader(counts, names)
+    reader = Reader(counts, names.to_pylist())
     total = np.zeros(len(names))
     for batch in batches:
         for text, weight in zip(batch.column(0), batch.column(1).to_pylist()):
@@ -328,7 +332,7 @@ def _rows(batches, counts: dict, names: list):
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "weight", "found"])
 
 
-def chosen(items: list[tuple[str, float, float]], bad_rows: float, good_rows: float) -> list[str]:
+def chosen(items: Iterable[tuple[str, float, float]], bad_rows: float, good_rows: float) -> list[str]:
     """Features whose rows could hardly be so often toxic by chance, the most telling first.
 
     By chance: the probability of a feature's counts at the overall share of
@@ -337,30 +341,42 @@ def chosen(items: list[tuple[str, float, float]], bad_rows: float, good_rows: fl
     share = bad_rows / max(1e-9, bad_rows + good_rows)
     if not 0 < share < 1:
         return []
-    found = []
-    for item, bad, good in items:
+
+    def chance(bad: float, good: float) -> float:
         ways = math.lgamma(bad + good + 1) - math.lgamma(bad + 1) - math.lgamma(good + 1)
-        chance = bad * math.log(share) + good * math.log(1 - share) + ways
-        if chance < math.log(CHANCE):
-            found.append((chance, item))
-    return [item for _, item in sorted(found)[:MOST_FEATURES]]
+        return bad * math.log(share) + good * math.log(1 - share) + ways
+
+    rated = ((chance(bad, good), item) for item, bad, good in items)
+    return [item for _, item in heapq.nsmallest(MOST_FEATURES, (x for x in rated if x[0] < math.log(CHANCE)))]
+
+
+def _rounded(n: pa.ChunkedArray) -> np.ndarray:
+    """Sums of weights, rounded, as they depend on their order in the last places."""
+    return np.fromiter((round(x, 6) for x in map(float, n.to_numpy())), float, len(n))
 
 
 def logistic(patterns: list[tuple[tuple, float, float]], features: int, ridge: float = RIDGE) -> np.ndarray:
-    """Weights (the constant last) of a ridge logistic fit; ``patterns``: (features, weight of toxic rows, of others)."""
-    x = np.zeros((len(patterns), features + 1), np.float32)
-    x[:, features] = 1
-    for i, (held, _, _) in enumerate(patterns):
-        x[i, list(held)] = 1
+    """Weights (the constant last) of a ridge logistic fit; ``patterns``: (features, weight of toxic rows, of others).
+
+    Newton sums go over stretches of patterns, so memory doesn't grow with their number times that of the features.
+    """
     bad, all_ = np.array([p[1] for p in patterns]), np.array([p[1] + p[2] for p in patterns])
     w = np.zeros(features + 1)
     keep = np.full(features + 1, ridge)
     keep[features] = 1e-3
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (bad - all_ * p) - keep * w
-        curve = (x * (all_ * p * (1 - p))[:, None]).T @ x + np.diag(keep)
-        step = np.linalg.solve(curve.astype(float), gradient)
+        gradient, curve = -keep * w, np.diag(keep)
+        for at in range(0, len(patterns), STRETCH):
+            part = slice(at, at + STRETCH)
+            x = np.zeros((len(patterns[part]), features + 1))
+            x[:, features] = 1
+            for row, (held, _, _) in zip(x, patterns[part]):
+                row[np.asarray(held, np.int64)] = 1
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            gradient += x.T @ (bad[part] - all_[part] * p)
+            x *= np.sqrt(all_[part] * p * (1 - p))[:, None]
+            curve += x.T @ x
+        step = np.linalg.solve(curve, gradient)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-4:
             break
@@ -389,21 +405,23 @@ def fit(docs: DataFrame, labels: DataFrame, space: Workspace, most_rows: int = M
     bad_rows, good_rows = told.get(True, 0.0), told.get(False, 0.0)
     if not bad_rows or not good_rows:
         return {"counts": counts, "weights": np.array([30.0 if bad_rows else -30.0]), "names": []}
-    # features of enough toxic rows, then their counts in the others; the sample bounds how many there are
+    # features of enough toxic rows, then their counts in the others; the sample bounds how many there are.
+    # They stay Arrow columns, as rows of Python objects would take the driver several times their size
     bad = train.where("toxic").select("text", "weight").mapInArrow(partial(_features, counts=counts), "feature string, n double").groupBy("feature").agg(F.sum("n").alias("n"))
-    # rounded, as sums of weights depend on their order in the last places
-    items = {r.feature: round(r.n, 6) for r in bad.where(F.col("n") >= MIN_SUPPORT - 1e-9).orderBy("feature").collect()}
-    names = list(items)
-    good = train.where("not toxic").select("text", "weight").mapInArrow(partial(_held, counts=counts, names=names), "i int, n double").groupBy("i").agg(F.sum("n").alias("n"))
-    others = {r.i: round(r.n, 6) for r in good.collect()}
-    telling = [(f, items[f], others.get(i, 0.0)) for i, f in enumerate(names) if items[f] >= MIN_PRECISION * (items[f] + others.get(i, 0.0))]
-    names = chosen(telling, bad_rows, good_rows)
-    sums: dict = {}
+    items = bad.where(F.col("n") >= MIN_SUPPORT - 1e-9).orderBy("feature").toArrow().combine_chunks()
+    every = pa.chunked_array(items["feature"], pa.string()).combine_chunks()
+    good = train.where("not toxic").select("text", "weight").mapInArrow(partial(_held, counts=counts, names=every), "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    in_bad, in_good = _rounded(items["n"]), np.zeros(len(every))
+    in_good[good["i"].to_numpy()] = _rounded(good["n"])
+    telling = np.flatnonzero(in_bad >= MIN_PRECISION * (in_bad + in_good))
+    names = chosen(((every[i].as_py(), float(in_bad[i]), float(in_good[i])) for i in telling.tolist()), bad_rows, good_rows)
     rows = train.mapInArrow(partial(_rows, counts=counts, names=names), "toxic boolean, weight double, found array<int>")
-    for r in rows.groupBy("toxic", "found").agg(F.sum("weight").alias("weight")).orderBy("found", "toxic").collect():
-        both = sums.setdefault(tuple(r.found), [0.0, 0.0])
-        both[0 if r.toxic else 1] += round(r.weight, 6)
-    weights = logistic([(k, *v) for k, v in sums.items()], len(names))
+    sums = rows.groupBy("found").agg(*[F.sum(F.when(F.col("toxic") == kind, F.col("weight")).otherwise(0.0)).alias(name) for kind, name in ((True, "bad"), (False, "good"))])
+    sums = sums.orderBy("found").toArrow().combine_chunks()
+    found = pa.chunked_array(sums["found"], pa.list_(pa.int32())).combine_chunks()
+    edges, held = found.offsets.to_numpy(), found.values.to_numpy()
+    patterns = [(held[a:b], *n) for a, b, *n in zip(edges[:-1].tolist(), edges[1:].tolist(), _rounded(sums["bad"]).tolist(), _rounded(sums["good"]).tolist())]
+    weights = logistic(patterns, len(names))
     return {"counts": counts, "weights": weights, "names": names}
 
 
