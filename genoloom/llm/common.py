@@ -7,10 +7,12 @@ the folder that the cluster's machines share.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +81,15 @@ def text_hash(column="text"):
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
 
+def give_back() -> None:
+    """What this process freed goes back to the system; the C library and Arrow would keep it for later."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass  # only glibc has it
+
+
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns, so that extra columns of any name do no harm."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import Workspace, need, text_bytes
+from genoloom.llm.common import Workspace, give_back, need, text_bytes
 
 #: Words with this share of all tokens are numbered, so a million at most; their numbers end at NUMBERED.
 SYMBOL_SHARE = 1e-6
@@ -526,30 +526,40 @@ def grow(hashes: list[np.ndarray], length: np.ndarray, after: np.ndarray, train:
         alive = alive[length[alive] >= d]
         if not len(alive):
             continue
-        contexts, of = np.unique(hashes[d - 1][alive], return_inverse=True)
-        total = np.bincount(of[train[alive]], minlength=len(contexts))
-        frequent = (total >= LEAST_CONTEXT)[of]
-        alive, of = alive[frequent], of[frequent]
-        if not len(alive):
-            continue
-        pairs, first, pair = np.unique(of.astype(np.uint64) << np.uint64(32) | after[alive], return_index=True, return_inverse=True)
-        k = np.bincount(pair[train[alive]], minlength=len(pairs)).astype(float)
-        owner = (pairs >> np.uint64(32)).astype(np.int64)
-        one = alive[first]
-        up = a[one] + b[one] * root[one]
-        # each occurrence predicted from the others, against the shorter state
-        gain = np.zeros(len(pairs))
-        seen = k > 0
-        gain[seen] = k[seen] * np.log((k[seen] - 1 + KAPPA * up[seen]) / ((total[owner[seen]] - 1 + KAPPA) * up[seen]))
-        state = np.bincount(owner, gain, minlength=len(contexts)) >= LEAST_TOTAL
-        mine = state[of]
-        at, n = alive[mine], total[of[mine]] + KAPPA
-        a[at] = (k[pair[mine]] + KAPPA * a[at]) / n
-        b[at] = KAPPA * b[at] / n
-        deep[at] = d
+        alive = _deeper(hashes[d - 1], d, alive, after, train, a, b, deep, root)
     return a, b, deep
 
 
+def _deeper(hashes: np.ndarray, d: int, alive: np.ndarray, after: np.ndarray, train: np.ndarray, a: np.ndarray, b: np.ndarray, deep: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Grow the contexts of ``d`` words: updates a, b and deep, returns the positions whose contexts are frequent.
+
+    A function of its own, so that one depth's arrays go before the next depth's come.
+    """
+    contexts, of = np.unique(hashes[alive], return_inverse=True)
+    total = np.bincount(of[train[alive]], minlength=len(contexts))
+    frequent = (total >= LEAST_CONTEXT)[of]
+    alive, of = alive[frequent], of[frequent]
+    if not len(alive):
+        return alive
+    pairs, first, pair = np.unique(of.astype(np.uint64) << np.uint64(32) | after[alive], return_index=True, return_inverse=True)
+    k = np.bincount(pair[train[alive]], minlength=len(pairs)).astype(float)
+    owner = (pairs >> np.uint64(32)).astype(np.int64)
+    one = alive[first]
+    up = a[one] + b[one] * root[one]
+    # each occurrence predicted from the others, against the shorter state
+    gain = np.zeros(len(pairs))
+    seen = k > 0
+    gain[seen] = k[seen] * np.log((k[seen] - 1 + KAPPA * up[seen]) / ((total[owner[seen]] - 1 + KAPPA) * up[seen]))
+    state = np.bincount(owner, gain, minlength=len(contexts)) >= LEAST_TOTAL
+    del pairs, first, owner, one, up, gain, seen
+    mine = state[of]
+    at, n = alive[mine], total[of[mine]] + KAPPA
+    a[at] = (k[pair[mine]] + KAPPA * a[at]) / n
+    b[at] = KAPPA * b[at] / n
+    deep[at] = d
+    return alive
+
+
 def _weights_above(hashes: list[np.ndarray], depth: np.ndarray, after: np.ndarray, told: pa.Table | None, hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, depth) of each position from the states of hot contexts."""
     a, b, deep = np.zeros(len(depth)), np.ones(len(depth)), np.zeros(len(depth), np.uint8)
@@ -589,14 +599,18 @@ def _grow_and_score(table: pa.Table, told: pa.Table | None, hot: Hot, chance: np
             size = n * np.dtype(kind).itemsize
             part.append(_unplaned(raw[at : at + size], kind, n))
             at += size
-    *back, length, after, text = (np.concatenate(p) for p in parts)
+    columns = []
+    while parts:
+        columns.append(np.concatenate(parts.pop(0)))
+    *back, length, after, text = columns
     sizes = table.column("n").to_numpy()
-    block = np.repeat(np.arange(len(sizes)), sizes)
     train, length = length < 128, length & 127
     hashes = context_hashes(back)
+    del columns, back, part
     depth = hot_depth(hashes, length, hot.contexts)
     root = root_of(after, chance, other)
     a, b, deep = grow(hashes, length, after, train, depth + 1, _weights_above(hashes, depth, after, told, hot), root)
+    del hashes, depth, train, length
     wait = (after >= NUMBERED) & (a > 0)
     gain = np.where(wait, 0.0, np.log10(np.where(wait, 1.0, a / root + b)))
     # positions come by block; within a block sum by text
@@ -792,10 +806,14 @@ def _grown(sent: DataFrame, asked: DataFrame | None, hot: Hot, chance: np.ndarra
     """All groups grown and scored, with what they ask for of the hot contexts."""
 
     def alone(table):
-        return _grow_and_score(table, None, hot, chance, other, max_words)
+        return both(table, None)
 
     def both(table, told):
-        return _grow_and_score(table, told, hot, chance, other, max_words)
+        _CODES.clear()  # no later pass reads texts
+        try:
+            return _grow_and_score(table, told, hot, chance, other, max_words)
+        finally:
+            give_back()
 
     if asked is None:
         return sent.groupBy("grp").applyInArrow(alone, GAINS)

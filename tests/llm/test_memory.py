@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 
-from genoloom.llm import toxicity
+from genoloom.llm import suffix_tree, toxicity
 from genoloom.llm.common import Workspace
 
 
@@ -42,3 +42,15 @@ def test_toxicity_fit_keeps_features_off_the_drivers_heap(spark, tmp_path, monke
     model, most = peak_mb(lambda: toxicity.fit(docs, labels, Workspace(spark, "toxicity")))
     assert most < 40  # some 150,000 features, of which rows of Python objects take over 60 MB
     assert len(model["weights"]) == len(model["names"]) + 1
+
+
+def test_grow_holds_one_depth_at_once():
+    rng = np.random.default_rng(3)
+    n = 200_000
+    sym = rng.integers(1, 40, n).astype(np.uint32)
+    back, length = suffix_tree.chains(sym, 4)
+    hashes, train, root = suffix_tree.context_hashes(back), rng.random(n) < 0.8, np.full(n, 1 / 40)
+    weights = np.zeros(n), np.ones(n), np.zeros(n, np.uint8)
+    (_, _, deep), most = peak_mb(lambda: suffix_tree.grow(hashes, length, sym, train, np.ones(n, np.uint8), weights, root))
+    assert deep.max() > 1
+    assert most * 1e6 < 87 * n  # 93 bytes a position with the depth before still held
